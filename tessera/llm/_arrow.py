@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -59,7 +60,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.Re
     if not batch.num_rows:
         return
     lengths = batch.column(column)
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(lengths), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(lengths), 0), dtype=np.int64)
     start, total = 0, 0
     for i, size in enumerate(sizes):
         if i > start and total + size > max_bytes:
@@ -71,7 +72,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.Re
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, null as empty, without a copy per row."""
-    array = pa.compute.fill_null(array, "").cast(pa.large_string())
+    array = pc.fill_null(array, "").cast(pa.large_string())
     offsets = np.frombuffer(array.buffers()[1], dtype=np.int64, count=len(array) + 1 + array.offset)[array.offset :]
     data = array.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
