@@ -12,6 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc32_of(column: str):
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_rules import fit, score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc32_of("doc_id") % 5 != 0)
+    scored = score_documents(docs, fit(docs, labels, label_col="quality"))
+    return scored.select("doc_id", (crc32_of("doc_id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.html_text import main_text
 
@@ -36,6 +49,13 @@ def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,8 +65,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_html_text, op4_audio_features, op6_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_html_text, op4_audio_features, op5_mix_sources, op6_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tessera.llm.mixing import MIX_SQL
+
+    return {"op5_mix_sources": MIX_SQL}
