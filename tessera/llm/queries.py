@@ -64,8 +64,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_toxicity_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity_net import fit, score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = fit(docs, table(spark, sf_dir, "labels").where(crc32_of("doc_id") % 4 != 2))
+    scored = score_documents(docs, net)
+    return scored.select("doc_id", (crc32_of("doc_id") % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_html_text, op4_audio_features, op5_mix_sources, op6_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_html_text, op4_audio_features, op5_mix_sources, op6_token_counts, op10_toxicity_net)}
 
 
 def oracle_sql() -> dict[str, str]:
