@@ -276,7 +276,7 @@ def _odds(rows: np.ndarray, positive: np.ndarray, n1: int, n0: int) -> np.ndarra
     return (np.clip(out, -4, 6) / 2).astype(np.float32)
 
 
-def fit_texts(texts: list[str], labels: np.ndarray, epochs: int = 2, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Network:
+def fit_texts(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Network:
     """Train on whole texts with document labels (0 or 1)."""
     labels = np.asarray(labels).astype(bool)
     n1, n0 = int(labels.sum()), int((~labels).sum())
@@ -299,16 +299,18 @@ def fit_texts(texts: list[str], labels: np.ndarray, epochs: int = 2, batch: int
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     step = 0
     cuts = [windows_of(np.array([len(word)]), np.array([0]))[0] for _, word in prepared]
-    peak = [np.array([net.inputs(v)[:, 1][word[a : a + WINDOW]].max(initial=0) for a in first]) for (v, word), first in zip(prepared, cuts, strict=True)]
-    for epoch in range(epochs):
-        order = np.sort(rng.permutation(np.flatnonzero(~labels))[: max(n1, 500)])  # as many clean ones as toxic ones
+    top = []  # the window of each document whose words have the largest n-gram log-odds
+    for (vocab, word), first in zip(prepared, cuts, strict=True):
+        odds = np.maximum.reduceat(net.gram_odds[vocab.grams % np.uint64(LOG_ODDS_ROWS)], vocab.first)[word] if len(word) else np.zeros(0)
+        top.append(int(first[int(np.argmax([odds[a : a + WINDOW].max(initial=0) for a in first]))]))
+    for _ in range(epochs):
+        order = np.sort(rng.permutation(np.flatnonzero(~labels))[: 2 * max(n1, 500)])
         order = rng.permutation(np.concatenate([np.flatnonzero(labels), order]))
         for start in range(0, len(order), batch):
             chosen, y = [], []
             for i in order[start : start + batch]:
                 first = cuts[i]
-                top = int(np.argmax(peak[i]))
-                chosen.append((i, int(first[top])))
+                chosen.append((i, top[i]))
                 y.append(float(labels[i]))
                 if not labels[i]:
                     chosen.append((i, int(first[rng.integers(len(first))])))
