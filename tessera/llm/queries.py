@@ -64,6 +64,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_items", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), F.round("coverage", 6).alias("coverage"), "contaminated"
+    )
+
+
 def op9_simhash_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash_dups import near_duplicates
 
@@ -80,7 +88,7 @@ def op10_toxicity_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_html_text, op4_audio_features, op5_mix_sources, op6_token_counts, op9_simhash_dups, op10_toxicity_net)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_html_text, op4_audio_features, op5_mix_sources, op6_token_counts, op7_decontaminate, op9_simhash_dups, op10_toxicity_net)}
 
 
 def oracle_sql() -> dict[str, str]:

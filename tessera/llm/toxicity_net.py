@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._arrow import arrow_map, arrow_type, named, pick, slices, typed, utf8
+from tessera.llm._words import PRIME, mixed, word_hashes, words_of
 
 WINDOW, STRIDE = 48, 36
 #: Sizes: hidden units of a direction, trained parts of word and character vectors, hash tables.
@@ -45,60 +46,6 @@ PER_CLASS = 2_500
 #: Clean documents for each toxic one in that bound.
 CLEAN_SHARE = 2
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-
-#: Bytes of a word: ASCII letters and digits, and all bytes of other characters; A-Z become a-z.
-_IN_WORD = np.zeros(256, bool)
-_IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    h = (h ^ (h >> np.uint64(29))) * _PRIME
-    return h ^ (h >> np.uint64(32))
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _PRIME, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lower-cased bytes, word starts, word ends, words before each text) of concatenated texts.
-
-    A word never runs over the end of a text.
-    """
-    lower = _LOWER[raw]
-    inside = np.zeros(len(raw) + 2, bool)
-    inside[1:-1] = _IN_WORD[raw]
-    begins = inside[1:] & ~inside[:-1]
-    ends = inside[:-1] & ~inside[1:]
-    cuts = offsets[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < len(raw))]
-    joined = cuts[inside[cuts] & inside[cuts + 1]]
-    begins[joined] = True
-    ends[joined] = True
-    starts, stops = np.flatnonzero(begins[: len(raw) + 1]), np.flatnonzero(ends[: len(raw) + 1])
-    return lower, starts, stops, np.searchsorted(starts, offsets)
-
-
-def word_hashes(lower: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word from one pass of prefix sums over the bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sizes = stops - starts
-    flat = np.arange(int(sizes.sum())) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    power = _powers(int(sizes.max()))
-    terms = (lower[flat].astype(np.uint64) + np.uint64(1)) * power[np.arange(len(flat)) - np.repeat(first, sizes)]
-    return _mixed(np.add.reduceat(terms, first) + sizes.astype(np.uint64) * _MIX)
-
-
 @dataclass
 class Vocabulary:
     """Distinct words of a slice: hashes and their character n-grams (flat, with the first of each word)."""
@@ -129,10 +76,10 @@ def vocabulary(lower: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tupl
     grams, owners, h = [], [], np.zeros(n, np.uint64)
     owner = np.repeat(np.arange(len(sizes)), marked)
     for size in range(1, NGRAMS[-1] + 1):
-        h = h * _PRIME + text[size - 1 : size - 1 + n]
+        h = h * PRIME + text[size - 1 : size - 1 + n]
         if size in NGRAMS:
             fits = left >= size
-            grams.append(_mixed(h[fits] + np.uint64(size)))
+            grams.append(mixed(h[fits] + np.uint64(size)))
             owners.append(owner[fits])
     grams, owners = np.concatenate(grams), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
