@@ -67,3 +67,30 @@ def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = out * PRIME + hashes[k : k + n]
     return mixed(out + np.uint64(size))
+
+
+#: A second multiplier, and the inverses modulo 2**64 of both, which move a run's hash to the exponent 0.
+PRIME_2 = np.uint64(0xC2B2AE3D27D4EB4F)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _power_table(prime: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    table = _POWERS.get(prime)
+    if table is None or len(table[0]) < n:
+        size = max(n, 1 << 20)
+        table = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, p, np.uint64)])) for p in (prime, pow(prime, -1, 1 << 64)))
+        if size <= 1 << 22:  # tables for one very long text aren't kept
+            _POWERS[prime] = table
+    return table
+
+
+class Spans:
+    """Hashes of byte runs of a buffer in constant time each: equal bytes, equal hash, in any buffer."""
+
+    def __init__(self, raw: np.ndarray, prime: np.uint64 = PRIME) -> None:
+        power, self.inverse = _power_table(int(prime), len(raw) + 1)
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=self.sums[1:])
+
+    def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return (self.sums[stop] - self.sums[start]) * self.inverse[start]

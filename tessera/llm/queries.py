@@ -25,6 +25,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc32_of("doc_id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_line_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dups import dedup_lines
+
+    cleaned = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.html_text import main_text
 
@@ -88,7 +95,7 @@ def op10_toxicity_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_html_text, op4_audio_features, op5_mix_sources, op6_token_counts, op7_decontaminate, op9_simhash_dups, op10_toxicity_net)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dups, op3_html_text, op4_audio_features, op5_mix_sources, op6_token_counts, op7_decontaminate, op9_simhash_dups, op10_toxicity_net)}
 
 
 def oracle_sql() -> dict[str, str]:
