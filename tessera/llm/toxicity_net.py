@@ -214,77 +214,89 @@ class Network:
         return 1 / (1 + np.exp(-best.astype(np.float64)))
 
 
-def _odds(rows: np.ndarray, positive: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """Log-odds by table row of (row, is positive) pairs that are distinct in a document; 0 if never met."""
-    a = np.bincount(rows[positive], minlength=LOG_ODDS_ROWS)
-    b = np.bincount(rows[~positive], minlength=LOG_ODDS_ROWS)
+def _odds(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log-odds by table row from the numbers of toxic and of clean documents that hold it; 0 if hardly met."""
     out = np.log((a + 1) / (n1 + 2)) - np.log((b + 1) / (n0 + 2))
     out[(a + b) < 3] = 0
     return (np.clip(out, -4, 6) / 2).astype(np.float32)
 
 
-def fit_texts(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Network:
-    """Train on whole texts with document labels (0 or 1)."""
+@dataclass
+class _Example:
+    """A labelled window: its distinct words and, for each place, which of them stands there."""
+
+    vocab: Vocabulary
+    place: np.ndarray
+    label: float
+
+
+def _example(vocab: Vocabulary, words: np.ndarray, label: float) -> _Example:
+    own, place = np.unique(words, return_inverse=True)
+    counts = vocab.counts[own]
+    flat = np.arange(int(counts.sum())) + np.repeat(vocab.first[own] - (np.cumsum(counts) - counts), counts)
+    return _Example(Vocabulary(vocab.hashes[own], vocab.grams[flat], np.cumsum(counts) - counts, counts), place, label)
+
+
+def _joined(examples: list[_Example]) -> tuple[Vocabulary, np.ndarray, np.ndarray, np.ndarray]:
+    """(vocabulary, index, mask, labels) of a batch of windows."""
+    index, mask = np.zeros((WINDOW, len(examples)), np.int64), np.zeros((WINDOW, len(examples)), np.float32)
+    base = 0
+    for j, x in enumerate(examples):
+        index[: len(x.place), j] = base + x.place
+        mask[: len(x.place), j] = 1
+        base += len(x.vocab.hashes)
+    index[mask == 0] = base
+    counts = np.concatenate([x.vocab.counts for x in examples])
+    vocab = Vocabulary(np.concatenate([x.vocab.hashes for x in examples]), np.concatenate([x.vocab.grams for x in examples]), np.cumsum(counts) - counts, counts)
+    return vocab, index, mask, np.array([x.label for x in examples], np.float32)
+
+
+def fit_texts(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 96, rate: float = 0.01, seed: int = 5) -> Network:
+    """Train on whole texts with document labels (0 or 1). Memory holds the texts, the tables and the windows."""
     labels = np.asarray(labels).astype(bool)
     n1, n0 = int(labels.sum()), int((~labels).sum())
     prior = (n1 + 1) / (n1 + n0 + 2)
     zeros = np.zeros(LOG_ODDS_ROWS, np.float32)
     if not n1 or not n0:
         return Network(zeros, zeros, prior)
-    word_rows, gram_rows, word_pos, gram_pos, prepared = [], [], [], [], []
-    for text, positive in zip(texts, labels, strict=True):
+
+    def parsed(text: str | None) -> tuple[Vocabulary, np.ndarray]:
         raw = np.frombuffer((text or "").encode(), np.uint8)
-        lower, starts, stops, begins = words_of(raw, np.array([0, len(raw)]))
-        vocab, word = vocabulary(lower, starts, stops)
-        prepared.append((vocab, word))
-        for rows, out, flags in ((vocab.hashes, word_rows, word_pos), (vocab.grams, gram_rows, gram_pos)):
-            distinct = np.unique(rows % np.uint64(LOG_ODDS_ROWS)).astype(np.int64)
-            out.append(distinct)
-            flags.append(np.full(len(distinct), positive))
-    net = Network(_odds(np.concatenate(word_rows), np.concatenate(word_pos), n1, n0), _odds(np.concatenate(gram_rows), np.concatenate(gram_pos), n1, n0), prior, Network.weights())
+        return vocabulary(*words_of(raw, np.array([0, len(raw)]))[:3])
+
+    met = np.zeros((2, 2, LOG_ODDS_ROWS), np.int32)  # words or grams, clean or toxic
+    for text, toxic in zip(texts, labels, strict=True):
+        vocab, _ = parsed(text)
+        for kind, hashes in enumerate((vocab.hashes, vocab.grams)):
+            met[kind, int(toxic), np.unique(hashes % np.uint64(LOG_ODDS_ROWS)).astype(np.int64)] += 1
+    net = Network(_odds(met[0, 1], met[0, 0], n1, n0), _odds(met[1, 1], met[1, 0], n1, n0), prior, Network.weights())
     rng = np.random.default_rng(seed)
+    clean = rng.permutation(np.flatnonzero(~labels))[: 2 * max(n1, 500)]
+    examples: list[_Example] = []
+    for i in np.concatenate([np.flatnonzero(labels), clean]):
+        vocab, word = parsed(texts[i])
+        first, _ = windows_of(np.array([len(word)]), np.array([0]))
+        odds = np.maximum.reduceat(net.gram_odds[vocab.grams % np.uint64(LOG_ODDS_ROWS)], vocab.first)[word] if len(word) else np.zeros(0)
+        top = int(first[int(np.argmax([odds[a : a + WINDOW].max(initial=0) for a in first]))])
+        examples.append(_example(vocab, word[top : top + WINDOW], float(labels[i])))
+        if not labels[i]:
+            other = int(first[rng.integers(len(first))])
+            examples.append(_example(vocab, word[other : other + WINDOW], 0.0))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     step = 0
-    cuts = [windows_of(np.array([len(word)]), np.array([0]))[0] for _, word in prepared]
-    top = []  # the window of each document whose words have the largest n-gram log-odds
-    for (vocab, word), first in zip(prepared, cuts, strict=True):
-        odds = np.maximum.reduceat(net.gram_odds[vocab.grams % np.uint64(LOG_ODDS_ROWS)], vocab.first)[word] if len(word) else np.zeros(0)
-        top.append(int(first[int(np.argmax([odds[a : a + WINDOW].max(initial=0) for a in first]))]))
     for _ in range(epochs):
-        order = np.sort(rng.permutation(np.flatnonzero(~labels))[: 2 * max(n1, 500)])
-        order = rng.permutation(np.concatenate([np.flatnonzero(labels), order]))
+        order = rng.permutation(len(examples))
         for start in range(0, len(order), batch):
-            chosen, y = [], []
-            for i in order[start : start + batch]:
-                first = cuts[i]
-                chosen.append((i, top[i]))
-                y.append(float(labels[i]))
-                if not labels[i]:
-                    chosen.append((i, int(first[rng.integers(len(first))])))
-                    y.append(0.0)
-            hashes, grams, counts, index, base = [], [], [], np.zeros((WINDOW, len(chosen)), np.int64), 0
-            mask = np.zeros((WINDOW, len(chosen)), np.float32)
-            for j, (i, a) in enumerate(chosen):
-                vocab, word = prepared[i]
-                own, place = np.unique(word[a : a + WINDOW], return_inverse=True)
-                index[: len(place), j] = base + place
-                mask[: len(place), j] = 1
-                base += len(own)
-                hashes.append(vocab.hashes[own])
-                counts.append(vocab.counts[own])
-                grams += [vocab.grams[vocab.first[o] : vocab.first[o] + vocab.counts[o]] for o in own]
-            count = np.concatenate(counts) if base else np.zeros(0, np.int64)
-            joint = Vocabulary(np.concatenate(hashes) if base else np.zeros(0, np.uint64), np.concatenate(grams) if grams else np.zeros(0, np.uint64), np.cumsum(count) - count, count)
-            index[mask == 0] = base
-            x = net.inputs(joint)
+            vocab, index, mask, target = _joined([examples[i] for i in order[start : start + batch]])
+            n = len(vocab.hashes)
+            x = net.inputs(vocab)
             logits, saved = net.forward(x, index, mask, keep=True)
-            p, target = _sigmoid(logits), np.array(y, np.float32)
             balance = np.where(target > 0, 1.0, 0.5).astype(np.float32)
-            g, dx = net.gradients(x, index, mask, saved, ((p - target) * balance / len(target)).astype(np.float32))
+            g, dx = net.gradients(x, index, mask, saved, ((_sigmoid(logits) - target) * balance / len(target)).astype(np.float32))
             g["word"], g["char"] = np.zeros_like(net.w["word"]), np.zeros_like(net.w["char"])
-            if base:
-                np.add.at(g["word"], (joint.hashes % np.uint64(EMBED_ROWS)).astype(np.int64), dx[:base, 3 : 3 + WORD_DIM])
-                np.add.at(g["char"], (joint.grams % np.uint64(EMBED_ROWS)).astype(np.int64), np.repeat(dx[:base, 3 + WORD_DIM :] / joint.counts[:, None], joint.counts, axis=0))
+            if n:
+                np.add.at(g["word"], (vocab.hashes % np.uint64(EMBED_ROWS)).astype(np.int64), dx[:n, 3 : 3 + WORD_DIM])
+                np.add.at(g["char"], (vocab.grams % np.uint64(EMBED_ROWS)).astype(np.int64), np.repeat(dx[:n, 3 + WORD_DIM :] / vocab.counts[:, None], vocab.counts, axis=0))
             step += 1
             for k, grad in g.items():
                 m, s = moments[k]
