@@ -79,6 +79,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_dups import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash_dups import near_duplicates
 
@@ -95,7 +101,7 @@ def op10_toxicity_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dups, op3_html_text, op4_audio_features, op5_mix_sources, op6_token_counts, op7_decontaminate, op9_simhash_dups, op10_toxicity_net)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dups, op3_html_text, op4_audio_features, op5_mix_sources, op6_token_counts, op7_decontaminate, op8_suffix_dups, op9_simhash_dups, op10_toxicity_net)}
 
 
 def oracle_sql() -> dict[str, str]:
