@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._arrow import arrow_map, arrow_type, named, pick, slices, typed, utf8
+from tessera.llm._arrow import arrow_map, arrow_type, named, pick, prepare, slices, typed, utf8
 from tessera.llm._words import PRIME, mixed, word_hashes, words_of
 
 WINDOW, STRIDE = 48, 36
@@ -333,3 +333,19 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
                 yield named(schema, key=part.column("key"), score=net.scores(*utf8(part.column("text"))))
 
     return arrow_map(pick(docs, key=id_col, text=text_col), run, f"{typed(docs, id_col, 'key')}, score double").withColumnRenamed("key", id_col)
+
+
+def with_scores(docs: DataFrame, net: Network, name: str, text_col: str = "text") -> DataFrame:
+    """docs with a score column; only texts go to Python."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        net = shared.value
+        for array in texts:
+            batch = pa.RecordBatch.from_arrays([array], names=["text"])
+            parts = [net.scores(*utf8(part.column("text"))) for part in slices(batch, "text", SLICE_BYTES)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+
+    return docs.withColumn(name, score(F.col(f"`{text_col}`")))
