@@ -6,9 +6,9 @@ trigger as key, so equal windows have equal keys wherever they stand. Consecutiv
 form a segment, at most a few hundred bytes longer than the windows it covers.
 
 1. Keys are counted (pre-aggregated longs). A key with one segment, in which it occurs once, repeats nothing.
-2. Segments of other keys are cut out. A bitmap of fixed size drops the rest before anything is shuffled;
-   bits that clash let some through that repeat nothing, which does no harm.
-3. Equal segments collapse (pre-aggregated, by 128-bit hash), then meet under their key.
+2. Segments of other keys are cut out, their bytes once for each task. A bitmap of fixed size drops the rest
+   before anything is shuffled; bits that clash let some through that repeat nothing, which does no harm.
+3. Equal segments are counted (pre-aggregated, by 128-bit hash): all of a segment that occurs twice repeats.
 4. Where a key has several distinct segments, they are sorted by prefix-free parsing: triggers cut them into
    overlapping phrases, the suffixes of the distinct phrases (dictionary) and the suffixes of the phrase
    sequences (parse) are sorted, and the pair (rank of the phrase's suffix, rank of the parse behind it)
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._arrow import arrow_map, arrow_type, cut, named, pick, slices, typed, utf8
+from tessera.llm._arrow import arrow_map, arrow_type, cut, cut_to_table, named, pick, slices, typed, utf8
 from tessera.llm._words import PRIME_2, Spans, mixed
 
 LENGTH, GRAM = 400, 16
@@ -44,6 +44,8 @@ HOT_BYTES = 4 << 20
 #: Bytes that go through one sort; text that is scanned at once (positions fit in 20 bits).
 SORT_BYTES, SCAN_BYTES = 1 << 20, 1 << 20
 FILTER_BITS = 1 << 26
+#: Segment hashes that a task remembers in order not to send the bytes of a frequent segment again and again.
+REMEMBERED = 1 << 17
 
 _PLACE = np.uint64((1 << 20) - 1)
 
@@ -111,28 +113,43 @@ def _count_keys(length: int):
 
 
 def _cut_segments(shared, length: int, key_type: pa.DataType):
-    schema = pa.schema([("k", pa.int64()), ("seg", pa.binary()), ("key", key_type), ("tag", pa.int64()), ("start", pa.int64()), ("moves", pa.bool_())])
+    """Occurrences of segments with wanted keys. The bytes are there where a task meets a segment first."""
+    schema = pa.schema([("k", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("size", pa.int32()), ("moves", pa.bool_()), ("key", key_type), ("tag", pa.int64()), ("start", pa.int64()), ("seg", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.frombuffer(shared.value, np.uint8)
+        met = np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, "text", SCAN_BYTES):
                 for raw, offsets, rows, begins in _pieces(part, length):
                     k, text, first, last, moves = _segments(raw, offsets, length)
                     place = k % FILTER_BITS
                     hit = np.flatnonzero(wanted[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-                    if len(hit):
-                        data = raw.tobytes()
-                        row = pa.array(rows[text[hit]])
-                        yield named(
-                            schema,
-                            k=k[hit],
-                            seg=[data[a : b + length] for a, b in zip(first[hit].tolist(), last[hit].tolist(), strict=True)],
-                            key=part.column("key").take(row),
-                            tag=part.column("tag").take(row),
-                            start=first[hit] - offsets[text[hit]] + begins[text[hit]],
-                            moves=moves[hit],
-                        )
+                    if not len(hit):
+                        continue
+                    a, b = first[hit], last[hit] + length
+                    s1 = mixed(Spans(raw)(a, b) + (b - a).astype(np.uint64)).view(np.int64)
+                    s2 = mixed(Spans(raw, PRIME_2)(a, b) + (b - a).astype(np.uint64)).view(np.int64)
+                    one = np.zeros(len(hit), bool)
+                    one[np.unique(s1, return_index=True)[1]] = True
+                    one &= ~np.isin(s1, met)
+                    met = s1[one] if len(met) > REMEMBERED else np.concatenate([met, s1[one]])
+                    data = raw.tobytes()
+                    segs = [data[x:y] if z else None for x, y, z in zip(a.tolist(), b.tolist(), one.tolist(), strict=True)]
+                    row = pa.array(rows[text[hit]])
+                    yield named(schema, k=k[hit], s1=s1, s2=s2, size=(b - a).astype(np.int32), moves=moves[hit], key=part.column("key").take(row), tag=part.column("tag").take(row), start=a - offsets[text[hit]] + begins[text[hit]], seg=segs)
+
+    return run
+
+
+def _of_keys(shared):
+    """Rows (k, s1, s2, seg) whose key may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            place = batch.column("k").to_numpy() % FILTER_BITS
+            yield batch.filter(pa.array((wanted[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
 
     return run
 
@@ -246,35 +263,27 @@ def _spans_of(mask: np.ndarray, length: int) -> list[int]:
 
 
 def _sort_keys(length: int):
-    """Rows (k, seg, s1, s2, n, moves) sorted by k: the repeated byte spans of each distinct segment."""
+    """Rows (k, s1, s2, seg) sorted by these: the repeated byte spans of each distinct segment."""
     schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("spans", pa.list_(pa.int32()))])
 
     def resolve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        k = table.column("k").to_numpy()
-        n, moves = table.column("n").to_numpy(), table.column("moves").to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        counts = np.repeat(np.diff(np.append(starts, len(k))), np.diff(np.append(starts, len(k))))
-        segs = table.column("seg").to_pylist()
-        sort = np.flatnonzero((counts > 1) | (moves & (n < 2)))
-        masks: dict[int, np.ndarray] = {}
-        batch, size = [], 0
-        for j, i in enumerate(sort.tolist()):
-            if batch and size > SORT_BYTES and k[i] != k[batch[-1]]:
-                masks |= dict(zip(batch, repeated_windows([segs[x] for x in batch], length), strict=True))
-                batch, size = [], 0
-            batch.append(i)
-            size += len(segs[i])
-        if batch:
-            masks |= dict(zip(batch, repeated_windows([segs[x] for x in batch], length), strict=True))
+        s1, s2 = table.column("s1").to_numpy(), table.column("s2").to_numpy()
+        one = np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])])
+        table = table.filter(pa.array(one))
+        k, s1, s2, segs = table.column("k").to_numpy(), s1[one], s2[one], table.column("seg").to_pylist()
         rows, spans = [], []
-        for i in range(len(k)):
-            found = [0, len(segs[i])] if n[i] > 1 else _spans_of(masks[i], length) if i in masks else []
-            if found:
-                rows.append(i)
-                spans.append(found)
+        start, size = 0, 0
+        for i in range(len(segs) + 1):
+            if i == len(segs) or (size > SORT_BYTES and k[i] != k[i - 1]):
+                for j, mask in enumerate(repeated_windows(segs[start:i], length), start):
+                    if found := _spans_of(mask, length):
+                        rows.append(j)
+                        spans.append(found)
+                start, size = i, 0
+            if i < len(segs):
+                size += len(segs[i])
         if rows:
-            at = pa.array(rows)
-            yield named(schema, s1=table.column("s1").take(at).combine_chunks(), s2=table.column("s2").take(at).combine_chunks(), spans=spans)
+            yield named(schema, s1=s1[rows], s2=s2[rows], spans=spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -296,17 +305,16 @@ def _sort_keys(length: int):
 
 
 def _window_rows(length: int):
-    """(w1, w2, s1, s2, at, n): every window of the segments of hot keys."""
-    schema = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "s1", "s2")] + [("at", pa.int32()), ("n", pa.int64())])
+    """(w1, w2, s1, s2, at): every window of the segments of hot keys."""
+    schema = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "s1", "s2")] + [("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw = np.frombuffer(batch.column("seg")[i].as_py(), np.uint8)
+            for s1, s2, seg in zip(*[batch.column(c).to_pylist() for c in ("s1", "s2", "seg")], strict=True):
+                raw = np.frombuffer(seg, np.uint8)
                 at = np.arange(len(raw) - length + 1)
-                full = np.full(len(at), 1)
                 w1, w2 = Spans(raw)(at, at + length).view(np.int64), Spans(raw, PRIME_2)(at, at + length).view(np.int64)
-                yield named(schema, w1=w1, w2=w2, s1=full * batch.column("s1")[i].as_py(), s2=full * batch.column("s2")[i].as_py(), at=at, n=full * batch.column("n")[i].as_py())
+                yield named(schema, w1=w1, w2=w2, s1=np.full(len(at), s1), s2=np.full(len(at), s2), at=at)
 
     return run
 
@@ -329,18 +337,24 @@ def _join_windows(length: int):
 _SPANS = "s1 bigint, s2 bigint, spans array<int>"
 
 
-def repeated_spans(distinct: DataFrame, length: int, hot_bytes: int) -> DataFrame:
-    """(s1, s2, spans) of the distinct segments (k, s1, s2, seg, n, moves) that repeat something."""
-    hot = cut(distinct.groupBy("k").agg(F.sum(F.octet_length("seg")).alias("bytes")).where(F.col("bytes") > hot_bytes).select("k"))
-    columns = ("k", "seg", "s1", "s2", "n", "moves")
-    if hot.isEmpty():
-        return arrow_map(distinct.select(*columns).repartition("k").sortWithinPartitions("k"), _sort_keys(length), _SPANS)
-    cool = distinct.join(hot, "k", "left_anti").select(*columns)
-    sorted_spans = arrow_map(cool.repartition("k").sortWithinPartitions("k"), _sort_keys(length), _SPANS)
-    windows = arrow_map(distinct.join(hot, "k", "left_semi").select("seg", "s1", "s2", "n").repartition(F.col("s1")), _window_rows(length), "w1 bigint, w2 bigint, s1 bigint, s2 bigint, at int, n bigint")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
+def repeated_spans(found: DataFrame, length: int, hot_bytes: int) -> DataFrame:
+    """(s1, s2, spans) of the segments that repeat something; a segment may have several rows."""
+    counts = cut(found.groupBy("k", "s1", "s2").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.max("moves").alias("moves")))
+    whole = counts.where("n > 1").select("s1", "s2", F.array(F.lit(0), "size").alias("spans"))
+    # The bytes of a key matter if it has different segments, or one in which the key comes twice.
+    keys = cut(counts.groupBy("k").agg(F.count("*").alias("d"), F.max(F.col("moves") & (F.col("n") < 2)).alias("self"), F.sum("size").alias("bytes")).where("d > 1 or self").select("k", "bytes"))
+    wanted = found.sparkSession.sparkContext.broadcast(_bitmap(keys))
+    segs = arrow_map(found.where("seg is not null").select("k", "s1", "s2", "seg"), _of_keys(wanted), "k bigint, s1 bigint, s2 bigint, seg binary")
+    hot = keys.where(F.col("bytes") > hot_bytes).select("k")
+    some = not hot.isEmpty()
+    cool = segs.join(hot, "k", "left_anti") if some else segs
+    out = whole.unionAll(arrow_map(cool.repartition("k").sortWithinPartitions("k", "s1", "s2"), _sort_keys(length), _SPANS))
+    if not some:
+        return out
+    windows = arrow_map(segs.join(hot, "k", "left_semi").dropDuplicates(["s1", "s2"]), _window_rows(length), "w1 bigint, w2 bigint, s1 bigint, s2 bigint, at int")
+    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
     places = windows.join(twice, ["w1", "w2"], "left_semi").groupBy("s1", "s2").agg(F.sort_array(F.collect_set("at")).alias("places"))
-    return sorted_spans.unionAll(arrow_map(places, _join_windows(length), _SPANS))
+    return out.unionAll(arrow_map(places, _join_windows(length), _SPANS))
 
 
 def _bitmap(keys: DataFrame) -> bytes:
@@ -388,10 +402,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     frame = pick(docs, key=id_col, text=text_col).withColumn("tag", F.xxhash64("text"))
     counted = arrow_map(frame.select("text"), _count_keys(length), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1")
     wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(counted))
-    found = arrow_map(frame, _cut_segments(wanted, length, key_type), f"k bigint, seg binary, {typed(frame, 'key', 'key')}, tag bigint, start bigint, moves boolean")
-    found = cut(found.select("*", F.xxhash64("seg").alias("s1"), F.xxhash64(F.lit(1), "seg", F.octet_length("seg")).alias("s2")))
-    distinct = found.groupBy("k", "s1", "s2").agg(F.first("seg").alias("seg"), F.count("*").alias("n"), F.max("moves").alias("moves"))
-    spans = cut(repeated_spans(distinct, length, hot_bytes))
+    cut_out = arrow_map(frame, _cut_segments(wanted, length, key_type), f"k bigint, s1 bigint, s2 bigint, size int, moves boolean, {typed(frame, 'key', 'key')}, tag bigint, start bigint, seg binary")
+    found = cut_to_table(cut_out)
+    spans = cut(repeated_spans(found, length, hot_bytes))
     of_doc = found.select("s1", "s2", "key", "tag", "start").join(spans, ["s1", "s2"]).groupBy(F.col("key").alias("k2"), F.col("tag").alias("t2")).agg(F.collect_list(F.struct("start", "spans")).alias("found"))
     joined = frame.join(of_doc, F.col("key").eqNullSafe(F.col("k2")) & F.col("tag").eqNullSafe(F.col("t2")), "left").select("key", "text", "found")
     ddl = f"{typed(frame, 'key', 'key')}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_kept else "")
