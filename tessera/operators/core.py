@@ -280,25 +280,26 @@ def source_dependence(selected: DataFrame, sources: DataFrame, params: CoreParam
     return measured.withColumn("share_within", share).withColumn("dependent", (F.col("n_shared") >= params.dependence_min_shared) & (share >= params.dependence_min_share))
 
 
-def evidence_groups(selected: DataFrame, dependence: DataFrame, sources: DataFrame, within: str = "concept", max_rounds: int = 32) -> DataFrame:
-    """(concept, source, group_label): connected components of dependent sources, labelled by their members.
+def evidence_groups(selected: DataFrame, dependence: DataFrame, within: str = "concept") -> DataFrame:
+    """(concept, source, group_label, n_members): connected components of dependent sources.
 
-    Labels spread by repeated self-joins until they settle; there are as many nodes as sources of a concept.
-    The label lists the members in name order, joined by "+".
+    A concept has as many nodes as sources, so its components come from one fold over its edges: the two ends'
+    labels become the smaller of them. The label of a group lists its members in name order, joined by '+'.
     """
-    nodes = selected.select(within, "source").distinct().withColumn("root", F.col("source"))
-    edges = dependence.where("dependent").select(within, F.col("source_a").alias("x"), F.col("source_b").alias("y"))
-    both = edges.unionByName(edges.select(within, F.col("y").alias("x"), F.col("x").alias("y")))
-    state = nodes
-    for _ in range(max_rounds):
-        reached = both.join(state.withColumnRenamed("source", "y"), [within, "y"]).groupBy(within, F.col("x").alias("source")).agg(F.min("root").alias("near"))
-        following = state.join(reached, [within, "source"], "left").select(within, "source", F.least("root", "near").alias("root")).cache()
-        moved = following.join(state.withColumnRenamed("root", "old"), [within, "source"]).where("root <> old").limit(1).count()
-        state = following
-        if not moved:
-            break
-    members = state.groupBy(within, "root").agg(F.array_join(F.array_sort(F.collect_set("source")), "+").alias("group_label"), F.count("*").alias("n_members"))
-    return state.join(members, [within, "root"]).select(within, "source", "group_label", "n_members")
+    nodes = selected.groupBy(within).agg(F.array_sort(F.collect_set("source")).alias("nodes"))
+    edges = dependence.where("dependent").groupBy(within).agg(F.collect_list(F.struct(F.col("source_a").alias("x"), F.col("source_b").alias("y"))).alias("edges"))
+    both = nodes.join(edges, within, "left")
+    start = F.transform("nodes", lambda n: F.struct(n.alias("source"), n.alias("root")))
+
+    def merge(labels: Column, edge: Column) -> Column:
+        root = lambda end: F.filter(labels, lambda n: n["source"] == end)[0]["root"]
+        low, high = F.least(root(edge["x"]), root(edge["y"])), F.greatest(root(edge["x"]), root(edge["y"]))
+        return F.transform(labels, lambda n: F.struct(n["source"].alias("source"), F.when(n["root"] == high, low).otherwise(n["root"]).alias("root")))
+
+    labelled = both.withColumn("labels", F.when(F.col("edges").isNull(), start).otherwise(F.aggregate("edges", start, merge)))
+    rows = labelled.select(within, "labels", F.explode("labels").alias("n"))
+    members = F.transform(F.filter("labels", lambda m: m["root"] == F.col("n.root")), lambda m: m["source"])
+    return rows.select(within, F.col("n.source").alias("source"), F.array_join(members, "+").alias("group_label"), F.size(members).cast("bigint").alias("n_members"))
 
 
 def reconcile(selected: DataFrame, groups: DataFrame, sources: DataFrame, params: CoreParams, cell: Sequence[str] = CELL) -> DataFrame:

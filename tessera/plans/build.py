@@ -64,7 +64,7 @@ class Core:
 
     @cached_property
     def groups(self) -> DataFrame:
-        return core.evidence_groups(self.selected, self.dependence, self.sources).cache()
+        return core.evidence_groups(self.selected, self.dependence).cache()
 
     @cached_property
     def reconciled(self) -> DataFrame:
