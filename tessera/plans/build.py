@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from tessera.operators import core, marts, quality
 from tessera.params import CoreParams, MartParams
+from tessera.session import cut
 from tessera.sources import dimensions
 
 
 @dataclass
 class Core:
-    """The core layer of one run. Frames are lazy; what several of them read is cached once."""
+    """The core layer of one run. Frames are lazy; what several of them read is stored once."""
 
     spark: SparkSession
     staged: dict[str, DataFrame]
@@ -25,7 +26,7 @@ class Core:
 
     @cached_property
     def countries(self) -> DataFrame:
-        return core.check_reference(self.staged["worldbank"], self.staged["who"], dimensions.countries(self.spark)).cache()
+        return cut(core.check_reference(self.staged["worldbank"], self.staged["who"], dimensions.countries(self.spark)))
 
     @cached_property
     def indicators(self) -> DataFrame:
@@ -44,7 +45,7 @@ class Core:
     @cached_property
     def classified(self) -> DataFrame:
         aliases = core.learned_aliases(self.staged["worldbank"], self.countries, dimensions.aliases(self.spark))
-        return core.classify(self.standard, self.countries, aliases, self.indicators, dimensions.vocabulary(self.spark), self.params).cache()
+        return cut(core.classify(self.standard, self.countries, aliases, self.indicators, dimensions.vocabulary(self.spark), self.params))
 
     @cached_property
     def rejected(self) -> DataFrame:
@@ -52,7 +53,7 @@ class Core:
 
     @cached_property
     def fact(self) -> DataFrame:
-        return core.with_series_flags(core.facts(self.classified), self.params).cache()
+        return cut(core.with_series_flags(core.facts(self.classified), self.params))
 
     @cached_property
     def selected(self) -> DataFrame:
@@ -60,15 +61,15 @@ class Core:
 
     @cached_property
     def dependence(self) -> DataFrame:
-        return core.source_dependence(self.selected, self.sources, self.params).cache()
+        return cut(core.source_dependence(self.selected, self.sources, self.params))
 
     @cached_property
     def groups(self) -> DataFrame:
-        return core.evidence_groups(self.selected, self.dependence).cache()
+        return cut(core.evidence_groups(self.selected, self.dependence))
 
     @cached_property
     def reconciled(self) -> DataFrame:
-        return core.reconcile(self.selected, self.groups, self.sources, self.params).cache()
+        return cut(core.reconcile(self.selected, self.groups, self.sources, self.params))
 
     def accounting(self) -> dict[str, int]:
         row = self.fact.agg(F.count("*").alias("loaded"), F.count_if("is_headline").alias("headline"), F.count_if(F.col("is_headline") & F.col("is_selected")).alias("selected")).first()
@@ -82,7 +83,7 @@ class Marts:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return marts.panel(self.core.reconciled, self.core.fact).cache()
+        return cut(marts.panel(self.core.reconciled, self.core.fact))
 
     @cached_property
     def tables(self) -> dict[str, DataFrame]:
@@ -99,13 +100,12 @@ class Marts:
 
 
 def write_run(tables: dict[str, DataFrame], warehouse: str, layer: str, run_id: str, log: dict) -> None:
-    """Replace a run's partitions; the build log comes last, so a run without it isn't there."""
+    """Replace a run's partitions, empty ones too; the build log comes last, so a run without it isn't there."""
     for name, df in tables.items():
-        out = df if "run_id" in df.columns else df.withColumn("run_id", F.lit(run_id))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{warehouse}/{layer}/{name}")
+        df.drop("run_id").write.mode("overwrite").parquet(f"{warehouse}/{layer}/{name}/run_id={run_id}")
     spark = next(iter(tables.values())).sparkSession
-    entry = spark.createDataFrame([(json.dumps(log, sort_keys=True, default=str), run_id)], "parameters string, run_id string").withColumn("built_at", F.current_timestamp())
-    entry.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{warehouse}/{layer}/build_log")
+    entry = spark.createDataFrame([(json.dumps(log, sort_keys=True, default=str),)], "parameters string").withColumn("built_at", F.current_timestamp())
+    entry.write.mode("overwrite").parquet(f"{warehouse}/{layer}/build_log/run_id={run_id}")
 
 
 def build_all(spark: SparkSession, staged: dict[str, DataFrame], warehouse: str, run_id: str, core_params: CoreParams = CoreParams(), mart_params: MartParams = MartParams()) -> tuple[Core, Marts]:
@@ -133,11 +133,11 @@ def quality_baseline(obs: DataFrame, built: Core, years: tuple[int, int], countr
     if stage not in ("staging", "core"):
         raise ValueError(f"unknown stage {stage!r}")
     ranges = built.indicators.select("concept", F.col("valid_min").alias("lo"), F.col("valid_max").alias("hi"))
-    obs = obs.cache()
+    obs = cut(obs)
     metrics = quality.row_level(obs, ranges, countries, years).unionByName(quality.coverage_and_grain(obs, countries, years)).unionByName(quality.integration(obs))
     if stage == "staging":
         metrics = metrics.unionByName(quality.vocabulary(built.staged["who"], built.staged["unicef"]))
     else:
         metrics = metrics.unionByName(quality.core_metrics(built.staged["load_log"], built.rejected, built.fact, built.reconciled, built.groups))
-    metrics = metrics.cache()
+    metrics = cut(metrics)
     return metrics.unionByName(quality.scores(metrics))

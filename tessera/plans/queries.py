@@ -16,6 +16,7 @@ from tessera.functions import scalars
 from tessera.functions.windows import first_by, islands, nearest
 from tessera.operators import core, experiments, forecast, marts, quality
 from tessera.params import CoreParams, MartParams
+from tessera.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -253,11 +254,11 @@ class Layer:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
-        self.selected = chosen(spark, sf_dir).where("is_selected").select("source", "country", "region", "concept", "year", "value", "period_text", "row_num").cache()
+        self.selected = cut(chosen(spark, sf_dir).where("is_selected").select("source", "country", "region", "concept", "year", "value", "period_text", "row_num"))
         found = core.source_dependence(self.selected, sources(spark), PARAMS)
         self.dependence = found.withColumn("dependent", F.col("dependent") & (F.col("concept") != "1-URGENT"))  # so that there are single groups too
-        self.groups = core.evidence_groups(self.selected, self.dependence).cache()
-        self.reconciled = core.reconcile(self.selected, self.groups, sources(spark), PARAMS).cache()
+        self.groups = core.evidence_groups(self.selected, self.dependence)
+        self.reconciled = core.reconcile(self.selected, self.groups, sources(spark), PARAMS)
         self.fact = self.selected.withColumns({"is_headline": F.lit(True), "is_selected": F.lit(True), "quality_flags": F.array().cast("array<string>"), "source_file": F.col("source")})
 
     @property
@@ -561,7 +562,7 @@ def fault_pool(spark, sf_dir):
 def _faulted(spark, sf_dir):
     """Every 20th pool row is a fault; rows of nations 0-9 are rejected, of others flagged or changed."""
     layer = Layer(spark, sf_dir)
-    pool = layer.pool.cache()
+    pool = cut(layer.pool)
     faults = pool.where("row_num % 20 = 0").select("source_file", "row_num", "country", "concept", "year", F.col("value").alias("original_value"), F.lit("value_change").alias("fault_type"), F.array(F.lit("flagged:temporal_outlier"), F.lit("flagged:conflict")).alias("expected"), "n_neighbours", "cell_members", "source")
     rejected = pool.where("row_num % 40 = 0").select("source_file", "row_num", F.lit("out_of_range").alias("reason"))
     flags = F.when(F.col("row_num") % 60 == 0, F.array(F.lit("temporal_outlier"))).when(F.col("row_num") % 7 == 0, F.array(F.lit("bounds_violation"))).otherwise(F.array().cast("array<string>"))

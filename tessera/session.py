@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that operators rely on for results (UTC, ANSI) or for plans (AQE).
 BASE_CONF = {
@@ -27,3 +27,15 @@ def build_session(app: str = "tessera", cores: int | str = "*", shuffle_partitio
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise a frame that several steps read, in the shared folder of spark.checkpoint.dir.
+
+    Lost executors don't lose it, and later plans start here instead of repeating all that came before. The
+    folder is set only where the session names none (one machine, tests).
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+    return df.checkpoint(eager=True)

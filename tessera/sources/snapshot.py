@@ -70,7 +70,7 @@ class SnapshotWriter:
 
 def read_manifest(spark: SparkSession, run_dir: str) -> dict:
     """The manifest through Spark's readers, so that any store will do."""
-    return json.loads(spark.read.option("wholetext", True).text(f"{run_dir}/{MANIFEST}").first()[0])
+    return json.loads(spark.read.text(f"{run_dir}/{MANIFEST}", wholetext=True).first()[0])
 
 
 def manifest_files(spark: SparkSession, manifest: dict) -> DataFrame:

@@ -53,7 +53,7 @@ def raw_files(spark: SparkSession, run_dir: str, files: DataFrame, source: str)
 
 def json_rows(raw: DataFrame, source: str) -> DataFrame:
     """(run_id, source_file, row_num, row): the rows of JSON files as JSON text; unreadable files give a null row."""
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     rows = F.from_json(text, "value array<string>")["value"] if source == "who" else F.from_json(F.get_json_object(text, "$[1]"), "array<string>")
     return raw.select("run_id", "source_file", F.posexplode_outer(rows).alias("p", "row")).select("run_id", "source_file", (F.col("p") + 1).alias("row_num"), "row")
 
@@ -124,7 +124,7 @@ def schema_reports(spark: SparkSession, run_dir: str, files: DataFrame) -> DataF
             F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_except(required, "names"))))).alias("missing"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("all"),
         )
-        text = F.decode("content", F.lit("UTF-8"))
+        text = F.decode("content", "UTF-8")
         parsed = F.from_json(text, "value array<string>")["value"] if source == "who" else F.from_json(F.get_json_object(text, "$[1]"), "array<string>")
         good = raw_files(spark, run_dir, files, source).select("source_file", parsed.isNotNull().alias("readable"))
         own = by_file.join(good, "source_file").withColumn("missing", F.when(F.col("readable"), F.col("missing")).otherwise(F.array(F.lit(UNREADABLE))))
