@@ -183,9 +183,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of_fp, "fp").select(F.col("key").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = SEED) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """The document with the smallest id of each component; rows that repeat an id count as one document."""
-    found = near_duplicates(docs, id_col, text_col, shingle, seed)
+    found = near_duplicates(docs, id_col, text_col, shingle, seed, group)
     key = F.col(f"`{id_col}`")
     kept = cut(found.where(key.eqNullSafe(F.col("component_id"))).groupBy(key.alias("kept")).count())
     out = docs.join(kept.select("kept"), key.eqNullSafe(F.col("kept")), "left_semi")
