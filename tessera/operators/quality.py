@@ -162,7 +162,7 @@ def schema_variants(headers: DataFrame, source: str = "unicef") -> DataFrame:
     """headers (series, columns array): how far the column sets of one source's series agree."""
     every = F.collect_list("columns")
     union = F.size(F.array_distinct(F.flatten(every)))
-    shared = F.size(F.reduce(F.slice(every, 2, F.greatest(F.size(every), F.lit(1))), F.element_at(every, 1), lambda a, b: F.array_intersect(a, b)))
+    shared = F.size(F.reduce(F.slice(every, 2, F.greatest(F.size(every), F.lit(1))), F.try_element_at(every, F.lit(1)), lambda a, b: F.array_intersect(a, b)))
     one = headers.agg(F.count("*").alias("n"), F.count_distinct("columns").alias("sets"), union.alias("u"), shared.alias("s"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("series", "columns"))))).alias("d")).where("n > 0")
     return _unfold(one, [_metric("source", "integration", "distinct_column_sets", F.col("sets"), F.col("n"), value=F.col("sets"), details=F.col("d")), _metric("source", "integration", "columns_shared_by_all_series", F.col("s"), F.col("u"))], F.lit(source))
 
