@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import core, experiments as X
 from tessera.params import CoreParams
+from tessera.session import cut
 from tessera.sources import dimensions
 
 PARAMS = CoreParams(year_min=2005, year_max=2016, dependence_min_shared=5)
@@ -29,18 +30,18 @@ def standard_rows(spark):
 
 class Built:
     def __init__(self, spark, standard):
-        classified = core.classify(standard, dimensions.countries(spark), dimensions.aliases(spark), dimensions.indicators(spark), dimensions.vocabulary(spark), PARAMS).cache()
-        self.rejected, self.fact = core.rejects(classified), core.with_series_flags(core.facts(classified), PARAMS).cache()
+        classified = cut(core.classify(standard, dimensions.countries(spark), dimensions.aliases(spark), dimensions.indicators(spark), dimensions.vocabulary(spark), PARAMS))
+        self.rejected, self.fact = cut(core.rejects(classified)), cut(core.with_series_flags(core.facts(classified), PARAMS))
         chosen = core.selected_rows(self.fact)
-        self.groups = core.evidence_groups(chosen, core.source_dependence(chosen, dimensions.sources(spark), PARAMS)).cache()
-        self.reconciled = core.reconcile(chosen, self.groups, dimensions.sources(spark), PARAMS).cache()
+        self.groups = cut(core.evidence_groups(chosen, core.source_dependence(chosen, dimensions.sources(spark), PARAMS)))
+        self.reconciled = cut(core.reconcile(chosen, self.groups, dimensions.sources(spark), PARAMS))
 
 
 @pytest.fixture(scope="module")
 def world(spark):
-    standard = standard_rows(spark).cache()
+    standard = cut(standard_rows(spark))
     built = Built(spark, standard)
-    pool = X.build_pool(built.fact, built.groups, built.reconciled).cache()
+    pool = cut(X.build_pool(built.fact, built.groups, built.reconciled))
     ranges = dimensions.indicators(spark).select("concept", F.col("valid_min").alias("lo"), F.col("valid_max").alias("hi"))
     return standard, built, pool, ranges
 
@@ -56,16 +57,16 @@ def test_validity_faults_end_to_end(spark, world):
     standard, _, pool, ranges = world
     countries = dimensions.countries(spark)
     plan = lambda seed: X.plan_validity(pool, standard, countries, ranges, seed, 4)
-    faults = plan(7).cache()
+    faults = cut(plan(7))
     assert {r.fault_type: r["count"] for r in faults.groupBy("fault_type").count().collect()} == dict.fromkeys(X.VALIDITY, 4)
     assert faults.select("source_file", "row_num").distinct().count() == 36
     key = lambda df: sorted(map(tuple, df.select("fault_type", "source_file", "row_num", "variant").collect()))
     assert key(plan(7)) == key(faults) != key(plan(8))
-    corrupted = X.apply_faults(standard, faults).cache()
+    corrupted = cut(X.apply_faults(standard, faults))
     assert corrupted.count() == 108 + 4
     after = Built(spark, corrupted)
-    placed = X.located(faults, standard).cache()
-    outcomes = X.classify_outcomes(placed, after.rejected, after.fact, after.reconciled).cache()
+    placed = cut(X.located(faults, standard))
+    outcomes = cut(X.classify_outcomes(placed, after.rejected, after.fact, after.reconciled))
     wrong = outcomes.where("not correct").select("fault_type", "source", "variant", "labels").collect()
     assert not wrong, wrong
     rates = {r.fault_type: r.rate for r in X.detection_rates(outcomes, "fault_type").collect()}
@@ -80,7 +81,7 @@ def test_validity_faults_end_to_end(spark, world):
 
 def test_magnitudes_are_isolated_and_found(spark, world):
     standard, _, pool, ranges = world
-    faults = X.plan_magnitude(pool, ranges, 3, 2, magnitudes=(0.5, 0.25)).cache()
+    faults = cut(X.plan_magnitude(pool, ranges, 3, 2, magnitudes=(0.5, 0.25)))
     rows = faults.collect()
     assert rows and len({(r.source, r.country) for r in rows}) == len(rows) == len({(r.country, r.year) for r in rows})
     for r in rows:
