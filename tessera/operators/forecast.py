@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.windows import lag_at
+from tessera.session import cut
 
 SERIES = ("concept", "iso3")
 BASELINES = ("last_value", "linear_trend_5", "average_change")
@@ -223,17 +224,17 @@ def split(instances: DataFrame, cutoff: int) -> tuple[DataFrame, DataFrame]:
     return instances.where(F.col("target_year") <= cutoff), instances.where(F.col("origin_year") == cutoff)
 
 
-def evaluate_models(instances: DataFrame, cutoffs: Sequence[int] = CUTOFFS, seeds: Sequence[int] = (0, 1, 2, 3, 4), iterations: int = 300, min_train: int = MIN_TRAIN) -> DataFrame | None:
+def evaluate_models(instances: DataFrame, cutoffs: Sequence[int] = CUTOFFS, seeds: Sequence[int] = (0, 1, 2, 3, 4), iterations: int = 300, min_train: int = MIN_TRAIN, alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0)) -> DataFrame | None:
     """Test instances of every cut-off with the errors of ridge and boosted trees (mean over seeds)."""
     matrix, names = design_matrix(instances)
-    matrix = matrix.cache()
+    matrix = cut(matrix)
     key = [*SERIES, "origin_year", "horizon"]
     out = None
     for cutoff in cutoffs:
         train, test = split(matrix, cutoff)
         if train.count() < min_train or test.isEmpty():
             continue
-        ridge = to_values(fit_ridge(train, names).transform(test), "log_ratio", "pred_ridge").select(*key, "pred_ridge")
+        ridge = to_values(fit_ridge(train, names, alphas).transform(test), "log_ratio", "pred_ridge").select(*key, "pred_ridge")
         votes = None
         for seed in seeds:
             one = fit_boosted(train, names, seed, iterations).transform(test).select(*key, F.lit(seed).alias("seed"), "log_ratio")
