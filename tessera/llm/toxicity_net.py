@@ -251,7 +251,7 @@ def _joined(examples: list[_Example]) -> tuple[Vocabulary, np.ndarray, np.ndarra
     return vocab, index, mask, np.array([x.label for x in examples], np.float32)
 
 
-def fit_texts(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 96, least_steps: int = 300, rate: float = 0.01, seed: int = 5) -> Network:
+def fit_texts(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 96, least_steps: int = 120, rate: float = 0.01, seed: int = 5) -> Network:
     """Train on whole texts with document labels (0 or 1). Memory holds the texts, the tables and the windows."""
     labels = np.asarray(labels).astype(bool)
     n1, n0 = int(labels.sum()), int((~labels).sum())
