@@ -183,6 +183,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of_fp, "fp").select(F.col("key").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row with the smallest id of each component; rows holds key, tag (XXH64 of the text) and component of every row.
+
+    Rows are told apart by id and text; rows that repeat both count as one. A null id is the largest.
+    """
+    sized = rows.groupBy("component", "key", "tag").agg(F.count("*").alias("n"))
+    least = sized.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "tag", "n")).alias("r"))
+    kept = cut(least.select(F.col("r.key").alias("__key"), F.col("r.tag").alias("__tag"), F.col("r.n").alias("__n")))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__tag"))
+    out = docs.join(kept.select("__key", "__tag"), same, "left_semi")
+    return out if kept.where("__n > 1").isEmpty() else out.dropDuplicates([id_col, text_col])
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """The document with the smallest id of each component; rows that repeat an id count as one document."""
     found = near_duplicates(docs, id_col, text_col, shingle, seed, group)
