@@ -11,12 +11,12 @@ fetched with their text, behind a bitmap of fixed size that drops other lines be
 Inside a key, lines are linked by breadth-first search, so a spanning forest is emitted, never all pairs;
 a sound bound on byte counts prunes before the edit distance. Keys with more than GROUP lines are dealt out
 as pairs of blocks. Classes are the connected components of the links. Of each class the line that stands
-first (smallest id, then line number) stays; all others are removed from their documents, and the remaining lines keep their order.
+first (smallest id, then text hash and line number) stays; all others are removed from their documents, and the remaining lines keep their order.
 
 Lines are parted by line feeds. Lengths and edits count UTF-8 bytes. Defined results: null texts stay null and
 empty texts stay empty, with no lines; empty lines are never duplicates and stay; a document all of whose
-lines are removed gets an empty text; repeated rows with one id are told apart by nothing, so their
-lines are compared as lines of one document; an empty table gives an empty result.
+lines are removed gets an empty text; rows that share an id, a null one too, are told apart by
+a hash of their text, and only rows of equal id and text count as one document; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -158,8 +158,8 @@ def line_hash(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndar
 
 
 def _hash_rows(key_type: pa.DataType):
-    """(key, n, h1, h2) of every line that isn't empty."""
-    schema = pa.schema([("key", key_type), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+    """(key, tag, n, h1, h2) of every line that isn't empty."""
+    schema = pa.schema([("key", key_type), ("tag", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +169,8 @@ def _hash_rows(key_type: pa.DataType):
                 real = stops > starts
                 starts, stops = starts[real], stops[real]
                 second = mixed(Spans(raw, PRIME_2)(starts, stops)).view(np.int64)
-                yield named(schema, key=part.column("key").take(pa.array(owner[real])), n=number[real].astype(np.int32), h1=line_hash(raw, starts, stops), h2=second)
+                of = pa.array(owner[real])
+                yield named(schema, key=part.column("key").take(of), tag=part.column("tag").take(of), n=number[real].astype(np.int32), h1=line_hash(raw, starts, stops), h2=second)
 
     return run
 
@@ -364,23 +365,23 @@ def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """(key, n): the lines that are removed, those that aren't the first of their class."""
-    frame = pick(docs, key=id_col, text=text_col)
-    hashed = cut(arrow_map(frame, _hash_rows(arrow_type(docs, id_col)), f"{typed(docs, id_col, 'key')}, n int, h1 bigint, h2 bigint"))
-    distinct = hashed.groupBy("h1", "h2").agg(F.min(F.struct("key", "n")).alias("least"), F.count("*").alias("copies"))
+    """(key, tag, n): the lines that are removed, those that aren't the first of their class; tag is the text's hash."""
+    frame = pick(docs, key=id_col, text=text_col).withColumn("tag", F.xxhash64("text"))
+    hashed = cut(arrow_map(frame, _hash_rows(arrow_type(docs, id_col)), f"{typed(docs, id_col, 'key')}, tag bigint, n int, h1 bigint, h2 bigint"))
+    distinct = hashed.groupBy("h1", "h2").agg(F.min(F.struct("key", "tag", "n")).alias("least"), F.count("*").alias("copies"))
     linked = components(line_links(docs, id_col, text_col, group)).select(F.col("node").alias("h1"), "component")
     # Only classes with another line matter: copies, or links to other lines.
     members = cut(distinct.join(linked, "h1", "left").where("copies > 1 or component is not null").select("h1", "h2", "least", F.coalesce("component", "h1").alias("c"), F.when(F.col("component").isNull(), F.col("h2")).alias("c2")))
     classes = members.groupBy("c", "c2").agg(F.min("least").alias("keeper"))
     keepers = members.select("h1", "h2", "c", "c2").join(classes.withColumnsRenamed({"c": "cc", "c2": "cc2"}), (F.col("c") == F.col("cc")) & F.col("c2").eqNullSafe(F.col("cc2"))).select("h1", "h2", "keeper")
-    return hashed.join(keepers, ["h1", "h2"]).where(~F.struct("key", "n").eqNullSafe(F.col("keeper"))).select("key", "n")
+    return hashed.join(keepers, ["h1", "h2"]).where(~F.struct("key", "tag", "n").eqNullSafe(F.col("keeper"))).select("key", "tag", "n")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """All columns of docs with the text cleaned, and n_lines, n_removed."""
-    gone = duplicate_lines(docs, id_col, text_col, group).groupBy("key").agg(F.collect_set("n").alias("__gone"))
+    gone = duplicate_lines(docs, id_col, text_col, group).groupBy(F.col("key").alias("__key"), F.col("tag").alias("__tag")).agg(F.collect_set("n").alias("__gone"))
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    joined = docs.join(gone.withColumnRenamed("key", "__key"), key.eqNullSafe(F.col("__key")), "left")
+    joined = docs.join(gone, key.eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__tag")), "left")
     lines = F.when(F.length(text) > 0, F.split(text, "\n"))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
     out = F.when(F.col("__gone").isNull(), text).otherwise(kept)

@@ -143,6 +143,12 @@ def test_line_dedup_keeps_columns_and_repeats(spark):
     assert L.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    rows = [(7, "x\ny"), (7, "z\nx"), (None, "p\nq"), (None, "r\np"), (8, "u\nv"), (9, "w\nu")]
+    out = [(r.doc_id, r.text) for r in L.dedup_lines(frame(spark, rows)).collect()]
+    assert sorted((str(i), x) for i, t in out for x in t.split("\n")) == sorted([("7", "x"), ("7", "y"), ("7", "z"), ("None", "p"), ("None", "q"), ("None", "r"), ("8", "u"), ("8", "v"), ("9", "w")])
+
+
 # --- greedy string tiling ---------------------------------------------------------------------------------------------
 
 
