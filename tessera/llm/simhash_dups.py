@@ -11,8 +11,8 @@ many edges as fingerprints at most, never all pairs, and the same components. Ke
 GROUP fingerprints are dealt out as pairs of blocks, so no task gets more than two blocks.
 
 Defined results: null, empty and white-space texts have fingerprint 0 and link like others; texts shorter
-than a shingle are one shingle; repeated rows link; a null id keeps its row (it names no component); an
-empty table gives an empty result.
+than a shingle are one shingle; repeated rows link; a null id keeps its row in near_duplicates (it names no
+component), and keep_one tells rows apart by id and text hash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -197,9 +197,9 @@ def one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) ->
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """The document with the smallest id of each component; rows that repeat an id count as one document."""
-    found = near_duplicates(docs, id_col, text_col, shingle, seed, group)
-    key = F.col(f"`{id_col}`")
-    kept = cut(found.where(key.eqNullSafe(F.col("component_id"))).groupBy(key.alias("kept")).count())
-    out = docs.join(kept.select("kept"), key.eqNullSafe(F.col("kept")), "left_semi")
-    return out if kept.where("count > 1").isEmpty() else out.dropDuplicates([id_col])
+    """One row of each component, the one with the smallest id; rows that share an id are decided each."""
+    row = F.struct(F.col(f"`{id_col}`").alias("key"), F.xxhash64(F.col(f"`{text_col}`")).alias("tag"))
+    fps = cut(fingerprints(docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text")), "row", "text", shingle, seed).select("key.key", "key.tag", "fp"))
+    linked = components(links(fps.select("fp").distinct(), group)).withColumnRenamed("node", "fp")
+    of_row = fps.join(linked, "fp", "left").select("key", "tag", F.coalesce("component", "fp").alias("component"))
+    return one_of_each(docs, of_row, id_col, text_col)

@@ -74,3 +74,17 @@ def test_network_score_column_survives_null_text(spark):
     net = toxicity_net.fit_texts(["a zork b", "c d e"] * 10, [1, 0] * 10)
     out = toxicity_net.with_scores(spark.createDataFrame([(None,), ("",), ("x",)], "text string"), net, "s").collect()
     assert len(out) == 3 and all(0 <= r.s <= 1 for r in out)
+
+
+def test_rows_of_null_and_repeated_ids_are_decided_each(spark, folder):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(6)]
+    passage = spark.read.parquet(f"{folder}/benchmark.parquet").where("item_id = 1").first().text
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (None, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(str(i), t) for i, t in [rows[0], rows[1], rows[3], rows[4], rows[5]]])
+    for kept in (simhash_dups.keep_one(docs), corpus_pipeline.drop_near_duplicates(spark, docs, folder)):
+        assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == want
+    dirty = spark.createDataFrame([(None, passage), (None, texts[0]), (7, texts[2]), (7, f"{texts[3]} {passage}")], "doc_id long, text string")
+    pure = corpus_pipeline.drop_contaminated(spark, dirty, folder).collect()
+    assert sorted((str(r.doc_id), r.text) for r in pure) == sorted([("None", texts[0]), ("7", texts[2])])
