@@ -642,7 +642,7 @@ def backtest_summary(spark, sf_dir):
 
 @register("backtest_intervals")
 def backtest_intervals(spark, sf_dir):
-    return rounded(forecast.summarize(_backtest(spark, sf_dir), resamples=50))
+    return rounded(forecast.summarize(_backtest(spark, sf_dir)))
 
 
 @register(
