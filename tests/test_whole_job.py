@@ -13,3 +13,12 @@ def test_backtest_intervals_take_all_resamples(spark, monkeypatch):
     monkeypatch.setattr(forecast, "summarize", lambda tested, models=forecast.BASELINES, resamples=forecast.RESAMPLES: asked.append(resamples))
     queries.QUERIES["backtest_intervals"](spark, "")
     assert asked == [forecast.RESAMPLES] == [500]
+
+
+def test_names_of_whole_texts(spark, tmp_path):
+    import hashlib
+
+    text = "Ab c" * 100 + "é!"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = queries.QUERIES["name_normalize_whole"](spark, str(tmp_path)).first()
+    assert (row.n_chars, row.name_sha256) == (301, hashlib.sha256(("abc" * 100 + "e").encode()).hexdigest())
