@@ -14,6 +14,20 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return df.withColumn("__rn", rank).where("__rn = 1").drop("__rn")
 
 
+def numbered(df: DataFrame, draw: str, ties: Sequence[str], name: str, keys: Sequence[str] = (), buckets: int = 1 << 16) -> DataFrame:
+    """Adds the rank from 0 by a draw in [0, 1), in all rows or in each group, without sorting all in one task.
+
+    Rows are ordered inside buckets of the draw; a bucket's offset is the number of rows in the buckets before it.
+    Only the counts of buckets, `buckets` for each group at most, are accumulated together.
+    """
+    b = df.withColumn("__bucket", F.floor(F.col(draw) * buckets).cast("int"))
+    counts = b.groupBy(*keys, "__bucket").agg(F.count("*").alias("__count"))
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "__bucket", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__offset"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(draw, *ties)) - 1
+    return b.withColumn("__inside", inside).join(offsets, [*keys, "__bucket"]).withColumn(name, F.col("__inside") + F.col("__offset")).drop("__bucket", "__inside", "__offset")
+
+
 def average_rank(value: str, keys: Sequence[str]) -> Column:
     """Rank from 1 with ties at their mean rank."""
     return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0

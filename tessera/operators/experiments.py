@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import has_flag, wilson
-from tessera.functions.windows import first_by
+from tessera.functions.windows import first_by, numbered
 from tessera.operators.core import CELL, selected_rows
 
 ROW = ("source_file", "row_num")
@@ -83,11 +83,11 @@ def plan_validity(pool: DataFrame, standard: DataFrame, countries: DataFrame, ra
     coded = F.coalesce("sex_raw", "wealth_raw", "residence_raw").isNotNull()
     plain = [t for t in types if t != "categorical_invalid"]
     ordered = rows.withColumn("__d", draw(seed, *ROW))
-    # Top n by draw is a bounded, distributed top-k; the rest likewise.
-    chosen_coded = ordered.where(coded).orderBy("__d", *ROW).limit(n).withColumn("fault_type", F.lit("categorical_invalid")) if "categorical_invalid" in types else ordered.limit(0).withColumn("fault_type", F.lit("categorical_invalid"))
-    others = ordered.join(chosen_coded.select(*ROW), list(ROW), "left_anti").orderBy("__d", *ROW).limit(n * len(plain))
-    numbered = others.withColumn("__i", F.row_number().over(Window.orderBy("__d", *ROW)) - 1)
-    turned = numbered.withColumn("fault_type", F.element_at(F.array(*[F.lit(t) for t in plain]), (F.col("__i") % len(plain) + 1).cast("int"))).drop("__i") if plain else others.limit(0).withColumn("fault_type", F.lit(""))
+    chosen_coded = numbered(ordered.where(coded), "__d", ROW, "__i").where(F.col("__i") < (n if "categorical_invalid" in types else 0)).drop("__i").withColumn("fault_type", F.lit("categorical_invalid"))
+    others = ordered.join(chosen_coded.select(*ROW), list(ROW), "left_anti")
+    dealt = numbered(others, "__d", ROW, "__i").where(F.col("__i") < n * len(plain))
+    in_turn = F.element_at(F.array(*[F.lit(t) for t in plain or [""]]), (F.col("__i") % max(1, len(plain)) + 1).cast("int"))
+    turned = dealt.withColumn("fault_type", in_turn).drop("__i").select(*chosen_coded.columns)
     faults = chosen_coded.unionByName(turned).join(countries.select(F.col("iso3").alias("country"), "iso2", "name"), "country", "left").join(ranges, "concept", "left")
     k = (*ROW, "fault_type")
     option = lambda salt, *values: pick_of(seed, salt, [F.lit(v) if isinstance(v, str) else v for v in values], *k)
@@ -122,17 +122,20 @@ def plan_magnitude(pool: DataFrame, ranges: DataFrame, seed: int, n: int, magnit
     rows = rows.withColumn("__d", draw(seed, *ROW))
     if isolate:
         rows = first_by(first_by(rows, CELL, [F.col("__d"), *[F.col(c) for c in ROW]]), ("source", "country", "concept"), [F.col("__d"), *[F.col(c) for c in ROW]])
-    top = rows.orderBy("__d", *ROW).limit(2 * n * len(magnitudes))
-    numbered = top.withColumn("__i", F.row_number().over(Window.orderBy("__d", *ROW)) - 1)
-    m = F.element_at(F.array(*[F.lit(float(x)) for x in magnitudes]), (F.col("__i") % len(magnitudes) + 1).cast("int"))
-    sized = numbered.withColumn("magnitude", m).join(ranges, "concept")
-    up = F.col("value") * (1 + F.col("magnitude"))
-    down = F.when(F.col("magnitude") >= 1, F.col("value") / (1 + F.col("magnitude"))).otherwise(F.col("value") * (1 - F.col("magnitude")))
-    first_up = draw(seed + 1, *ROW) < 0.5
-    fits = lambda c: F.when(c.between(F.col("lo"), F.col("hi")) & (c != F.col("value")), F.round(c, 6))
-    new = F.when(first_up, F.coalesce(fits(up), fits(down))).otherwise(F.coalesce(fits(down), fits(up)))
-    changed = sized.withColumn("new_value", new).where(F.col("new_value").isNotNull())
-    each = changed.withColumn("__k", F.row_number().over(Window.partitionBy("magnitude").orderBy("__d", *ROW))).where(F.col("__k") <= n)
+    sizes = [float(x) for x in magnitudes]
+    value, first_up = F.col("value"), draw(seed + 1, *ROW) < 0.5
+    fits = lambda c: F.when(c.between(F.col("lo"), F.col("hi")) & (c != value), F.round(c, 6))
+
+    def changed(m: float) -> Column:
+        up, down = fits(value * (1 + m)), fits(value / (1 + m) if m >= 1 else value * (1 - m))
+        return F.when(first_up, F.coalesce(up, down)).otherwise(F.coalesce(down, up))
+
+    # Each row is offered to the magnitudes that fit it, one by a further draw; then n of each by the draw.
+    options = F.filter(F.array(*[F.struct(F.lit(m).alias("magnitude"), changed(m).alias("new_value")) for m in sizes]), lambda x: x["new_value"].isNotNull())
+    fitting = rows.join(ranges, "concept").withColumn("__o", options).where(F.size("__o") > 0)
+    taken = F.element_at("__o", (F.floor(draw(seed + 2, *ROW) * F.size("__o")) + 1).cast("int"))
+    sized = fitting.withColumn("__t", taken).withColumns({"magnitude": F.col("__t.magnitude"), "new_value": F.col("__t.new_value")}).drop("__o", "__t")
+    each = numbered(sized, "__d", ROW, "__k", ["magnitude"]).where(F.col("__k") < n)
     none = lambda: F.lit(None).cast("string")
     return each.select(F.lit("value_change").alias("fault_type"), F.concat(F.round(F.col("magnitude") * 100).cast("int").cast("string"), F.lit("%")).alias("variant"), "source", *ROW, *CELL, F.col("value").alias("original_value"), "n_neighbours", "cell_members", "new_value", none().alias("new_place"), none().alias("new_period"), none().alias("new_text"), none().alias("new_code"), F.array(*[F.lit(x) for x in EXPECTED["value_change"]]).alias("expected"))
 

@@ -7,6 +7,7 @@ value, numerator, denominator, details). value = numerator / denominator, null f
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -117,17 +118,29 @@ def naive_fanout(obs: DataFrame, sources: Sequence[str] = ("who", "worldbank", "
 def naive_conflicts(obs: DataFrame, sources: Sequence[str] = ("who", "worldbank", "unicef"), share: float = 0.10) -> DataFrame:
     """(concept, total, conflicting) over all combinations of one row from each of three sources in a cell.
 
-    A combination conflicts if the spread of its values exceeds `share` of their mean. Equal values of a source
-    in a cell collapse to one row with a weight first, so copies don't multiply the join.
+    A combination conflicts if the spread of its values exceeds `share` of their mean. All combinations are counted
+    by products of counts, not made. Values that agree lie within a factor of 1 / (1 - share) of the smallest, or are
+    all zero; so only rows of one narrow logarithmic band meet in a join, copies of a value as one row with a weight.
     """
-    side = lambda s, v, c: obs.where((F.col("source") == s) & F.col("value").isNotNull()).groupBy("concept", "iso3", "year", F.col("value").alias(v)).agg(F.count("*").alias(c))
-    a, b, c = (side(s, f"v{i}", f"c{i}") for i, s in enumerate(sources))
+    if not 0 < share < 1:
+        raise ValueError("share must lie between 0 and 1")
     keys = ["concept", "iso3", "year"]
-    rows = a.join(b, keys).join(c, keys)
-    weight = F.col("c0") * F.col("c1") * F.col("c2")
+    real = obs.where(F.col("value").isNotNull() & F.col("iso3").isNotNull() & F.col("year").isNotNull() & F.col("source").isin(list(sources)))
+    weighted = real.groupBy(*keys, "source", "value").agg(F.count("*").alias("c"))
+    counts = weighted.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("source") == s, F.col("c"))), F.lit(0)).alias(f"n{i}") for i, s in enumerate(sources)])
+    totals = counts.where("n0 > 0 and n1 > 0 and n2 > 0").groupBy("concept").agg(F.sum(F.col("n0") * F.col("n1") * F.col("n2")).alias("total"))
+    # A hair wider than the factor, so that rounding at its edge loses nothing; zeros have a band of their own.
+    width = -math.log1p(-share) * (1 + 1e-9)
+    band = F.when(F.col("value") > 0, F.floor(F.ln("value") / width)).when(F.col("value") == 0, F.lit(-(10**9)))
+    banded = weighted.where("value >= 0").withColumn("own", band)
+    # A value meets those whose smallest lies in its own band or in the one below.
+    met = banded.withColumn("band", F.explode(F.array("own", F.col("own") - 1)))
+    side = lambda i: met.where(F.col("source") == sources[i]).select(*keys, "band", F.col("value").alias(f"v{i}"), F.col("c").alias(f"c{i}"), F.col("own").alias(f"b{i}"))
+    rows = side(0).join(side(1), [*keys, "band"]).join(side(2), [*keys, "band"]).where(F.col("band") == F.least("b0", "b1", "b2"))
     spread = F.greatest("v0", "v1", "v2") - F.least("v0", "v1", "v2")
     conflict = spread > share * (F.col("v0") + F.col("v1") + F.col("v2")) / 3.0
-    return rows.groupBy("concept").agg(F.sum(weight).alias("total"), F.coalesce(F.sum(F.when(conflict, weight)), F.lit(0)).alias("conflicting"))
+    agreed = rows.where(~conflict).groupBy("concept").agg(F.sum(F.col("c0") * F.col("c1") * F.col("c2")).alias("agreed"))
+    return totals.join(agreed, "concept", "left").select("concept", "total", (F.col("total") - F.coalesce("agreed", F.lit(0))).alias("conflicting"))
 
 
 def integration(obs: DataFrame, sources: Sequence[str] = ("who", "worldbank", "unicef")) -> DataFrame:

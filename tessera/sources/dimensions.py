@@ -1,90 +1,64 @@
-"""Reference dimensions as DataFrames. All tables here are small and fixed."""
+"""Reference dimensions, read by Spark from plain CSV files with declared schemas.
+
+The files in reference/ travel with the package. A folder of files of the same names and columns, in any store
+that Spark reads, may take their place. All these tables are small and fixed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+from importlib.resources import files
 
-# ISO 3166 codes, English names and UN sub-regions of the countries in scope.
-COUNTRIES = {
-    "Eastern Africa": "BDI BI Burundi|COM KM Comoros|DJI DJ Djibouti|ERI ER Eritrea|ETH ET Ethiopia|KEN KE Kenya|MDG MG Madagascar|MWI MW Malawi|MUS MU Mauritius|MOZ MZ Mozambique|RWA RW Rwanda|SYC SC Seychelles|SOM SO Somalia|SSD SS South Sudan|TZA TZ Tanzania|UGA UG Uganda|ZMB ZM Zambia|ZWE ZW Zimbabwe",
-    "Middle Africa": "AGO AO Angola|CMR CM Cameroon|CAF CF Central African Republic|TCD TD Chad|COG CG Congo|COD CD Democratic Republic of the Congo|GNQ GQ Equatorial Guinea|GAB GA Gabon|STP ST Sao Tome and Principe",
-    "Northern Africa": "DZA DZ Algeria|EGY EG Egypt|LBY LY Libya|MAR MA Morocco|SDN SD Sudan|TUN TN Tunisia",
-    "Southern Africa": "BWA BW Botswana|SWZ SZ Eswatini|LSO LS Lesotho|NAM NA Namibia|ZAF ZA South Africa",
-    "Western Africa": "BEN BJ Benin|BFA BF Burkina Faso|CPV CV Cabo Verde|CIV CI Côte d'Ivoire|GMB GM Gambia|GHA GH Ghana|GIN GN Guinea|GNB GW Guinea-Bissau|LBR LR Liberia|MLI ML Mali|MRT MR Mauritania|NER NE Niger|NGA NG Nigeria|SEN SN Senegal|SLE SL Sierra Leone|TGO TG Togo",
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SCHEMAS = {
+    "countries": "iso3 string, iso2 string, name string, un_subregion string",
+    "aliases": "alias string, iso3 string, alias_type string",
+    "indicators": "ordinal int, concept string, name string, unit string, domain string, valid_min double, valid_max double, unicef_headline_age string, who_series string, worldbank_series string, unicef_series string",
+    "vocabulary": "dimension string, source string, source_value string, canonical string",
+    "sources": "source string, priority int",
 }
 
-# Other names under which countries are reported, with the kind of name.
-ALIASES = (
-    ("Ivory Coast", "CIV", "legacy_name"),
-    ("Cote d'Ivoire", "CIV", "ascii_variant"),
-    ("Cote dIvoire", "CIV", "ascii_variant"),
-    ("Swaziland", "SWZ", "legacy_name"),
-    ("Cape Verde", "CPV", "legacy_name"),
-    ("Gambia, The", "GMB", "world_bank_style"),
-    ("The Gambia", "GMB", "variant"),
-    ("Congo, Rep.", "COG", "world_bank_style"),
-    ("Republic of the Congo", "COG", "variant"),
-    ("Congo-Brazzaville", "COG", "variant"),
-    ("Congo (Brazzaville)", "COG", "variant"),
-    ("Congo, Dem. Rep.", "COD", "world_bank_style"),
-    ("DR Congo", "COD", "abbreviation"),
-    ("DRC", "COD", "abbreviation"),
-    ("Congo-Kinshasa", "COD", "variant"),
-    ("Congo (Kinshasa)", "COD", "variant"),
-    ("Egypt, Arab Rep.", "EGY", "world_bank_style"),
-    ("United Republic of Tanzania", "TZA", "variant"),
-    ("Tanzania United Republic of", "TZA", "variant"),
-    ("Sao Tome & Principe", "STP", "variant"),
-    ("São Tomé and Príncipe", "STP", "variant"),
-    ("Guinea Bissau", "GNB", "variant"),
-)
-
-# Indicators in key order with unit, domain, plausible range, headline age, and the series of the three sources.
-INDICATORS = (
-    ("under5_mortality", "Under-five mortality rate", "deaths per 1000 live births", "child_health", 0.0, 1000.0, None, "MDG_0000000007", "SH.DYN.MORT", "CME.CME_MRY0T4"),
-    ("neonatal_mortality", "Neonatal mortality rate", "deaths per 1000 live births", "child_health", 0.0, 1000.0, None, "WHOSIS_000003", "SH.DYN.NMRT", "CME.CME_MRM0"),
-    ("maternal_mortality_ratio", "Maternal mortality ratio", "deaths per 100000 live births", "maternal_health", 0.0, 100000.0, "_T", "MDG_0000000026", "SH.STA.MMRT", "MNCH.MNCH_MMR"),
-    ("skilled_birth_attendance", "Births attended by skilled health personnel", "percent of births", "maternal_health", 0.0, 100.0, "Y15T49", "MDG_0000000025", "SH.STA.BRTC.ZS", "MNCH.MNCH_SAB"),
-    ("dtp3_coverage", "DTP3 immunization coverage among one-year-olds", "percent", "child_health", 0.0, 100.0, "M12T23", "WHS4_100", "SH.IMM.IDPT", "IMMUNISATION.IM_DTP3"),
-    ("measles_mcv1_coverage", "Measles (MCV1) immunization coverage among one-year-olds", "percent", "child_health", 0.0, 100.0, "M12T23", "WHS8_110", "SH.IMM.MEAS", "IMMUNISATION.IM_MCV1"),
-    ("stunting_prevalence", "Stunting prevalence in children under 5", "percent of children under 5", "child_health", 0.0, 100.0, "_T", "NUTSTUNTINGPREV", "SH.STA.STNT.ZS", "NUTRITION.NT_ANT_HAZ_NE2"),
-)
-
-# Codes of the sources for one idea, and the canonical code.
-VOCABULARY = {
-    ("sex", "who"): {"SEX_BTSX": "total", "SEX_MLE": "male", "SEX_FMLE": "female"},
-    ("sex", "unicef"): {"_T": "total", "M": "male", "F": "female"},
-    ("wealth_quintile", "who"): {"WEALTHQUINTILE_TOTL": "total"} | {f"WEALTHQUINTILE_WQ{i}": f"q{i}" for i in range(1, 6)},
-    ("wealth_quintile", "unicef"): {"_T": "total"} | {f"Q{i}": f"q{i}" for i in range(1, 6)} | {f"{k}{n}": f"{name}_{n}" for k, name, shares in (("B", "bottom", (20, 40, 60, 80)), ("M", "middle", (40, 60)), ("R", "top", (20, 40, 60, 80))) for n in shares},
-    ("residence", "unicef"): {"_T": "total", "U": "urban", "R": "rural"},
-}
 
-# Sources by priority, the best first.
-SOURCES = (("who", 1), ("unicef", 2), ("worldbank", 3))
+def _lines(name: str) -> list[str]:
+    """The packaged file without its comment, header first."""
+    text = (files(__package__) / "reference" / f"{name}.csv").read_text(encoding="utf-8")
+    return [line for line in text.splitlines() if line and not line.startswith("#")]
+
+
+def dimension(spark: SparkSession, name: str, folder: str | None = None) -> DataFrame:
+    """One reference table; a header that isn't that of the schema raises ValueError."""
+    schema = SCHEMAS[name]
+    if folder is not None:
+        return spark.read.schema(schema).csv(f"{folder}/{name}.csv", header=True, enforceSchema=False, comment="#", escape='"')
+    header, *rows = _lines(name)
+    if header.split(",") != [column.split()[0] for column in schema.split(", ")]:
+        raise ValueError(f"{name}.csv has the columns {header}")
+    parsed = F.from_csv("line", schema, {"escape": '"'}).alias("r")
+    return spark.createDataFrame([(row,) for row in rows], "line string").select(parsed).select("r.*")
 
 
-def countries(spark: SparkSession) -> DataFrame:
-    rows = [(*entry.split(" ", 2), region) for region, text in COUNTRIES.items() for entry in text.split("|")]
-    return spark.createDataFrame(sorted(rows, key=lambda r: r[0]), "iso3 string, iso2 string, name string, un_subregion string")
+def countries(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    return dimension(spark, "countries", folder)
 
 
-def aliases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ALIASES), "alias string, iso3 string, alias_type string")
+def aliases(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    return dimension(spark, "aliases", folder)
 
 
-def indicators(spark: SparkSession) -> DataFrame:
-    rows = [(i + 1, *r) for i, r in enumerate(INDICATORS)]
-    return spark.createDataFrame(rows, "ordinal int, concept string, name string, unit string, domain string, valid_min double, valid_max double, unicef_headline_age string, who_series string, worldbank_series string, unicef_series string")
+def indicators(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    return dimension(spark, "indicators", folder)
 
 
-def vocabulary(spark: SparkSession) -> DataFrame:
-    rows = [(d, s, code, canonical) for (d, s), codes in VOCABULARY.items() for code, canonical in codes.items()]
-    return spark.createDataFrame(rows, "dimension string, source string, source_value string, canonical string")
+def vocabulary(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    return dimension(spark, "vocabulary", folder)
 
 
-def sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SOURCES), "source string, priority int")
+def sources(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    return dimension(spark, "sources", folder)
 
 
-def ranges() -> dict[str, tuple[float, float]]:
-    return {r[0]: (r[4], r[5]) for r in INDICATORS}
+def indicator_rows() -> list[dict[str, str]]:
+    """The packaged indicators without Spark, for fetchers."""
+    return list(csv.DictReader(_lines("indicators")))

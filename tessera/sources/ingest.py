@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
-from tessera.sources.dimensions import INDICATORS
+from tessera.sources.dimensions import indicator_rows
 from tessera.sources.snapshot import RawPage, SnapshotWriter
 
 Get = Callable[[str], RawPage]
@@ -77,21 +77,21 @@ def fetch_unicef(get: Get, series: str, countries: list[str], years: tuple[int,
 
 
 FETCHERS: dict[str, Callable[..., Iterable[RawPage]]] = {"who": fetch_who, "worldbank": fetch_worldbank, "unicef": fetch_unicef}
-_SERIES = {"who": 7, "worldbank": 8, "unicef": 9}
+_SERIES = {"who": "who_series", "worldbank": "worldbank_series", "unicef": "unicef_series"}
 
 
 def run_ingestion(out_dir: str, countries: list[str], years: tuple[int, int], sources: Iterable[str] = tuple(FETCHERS), concepts: Iterable[str] | None = None, get: Get = http_get, run_id: str | None = None, pause: float = 0.5, sleep=time.sleep) -> Path:
     """One snapshot of all series. A series is written whole or recorded as failed; the others go on."""
-    wanted = [r for r in INDICATORS if concepts is None or r[0] in set(concepts)]
+    wanted = [r for r in indicator_rows() if concepts is None or r["concept"] in set(concepts)]
     sources = list(sources)
-    writer = SnapshotWriter(out_dir, run_id or datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ"), {"sources": sources, "concepts": [r[0] for r in wanted], "countries": countries, "years": list(years)})
+    writer = SnapshotWriter(out_dir, run_id or datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ"), {"sources": sources, "concepts": [r["concept"] for r in wanted], "countries": countries, "years": list(years)})
     for source in sources:
         for row in wanted:
             try:
                 pages = list(FETCHERS[source](get, row[_SERIES[source]], countries, years))
             except Exception as e:
-                writer.record_failure(source, row[0], f"{type(e).__name__}: {e}")
+                writer.record_failure(source, row["concept"], f"{type(e).__name__}: {e}")
             else:
-                writer.write_pages(source, row[_SERIES[source]], row[0], pages)
+                writer.write_pages(source, row[_SERIES[source]], row["concept"], pages)
             sleep(pause)
     return writer.finalize()
