@@ -339,6 +339,50 @@ def test_shuffled_plan_agrees_with_the_broadcast_one(spark, monkeypatch):
     assert one == sorted((r.doc_id, r.taken) for r in M.mix(docs).collect())
 
 
+def plain_mix(rows, seed=M.SEED):
+    """(copies, fraction) of each row by plain loops: levels by bisection, one sort of each source by the odds."""
+    sized = [(i, s, len((t or "").split()), (int(hashlib.md5(f"{i}:{hashlib.md5((t or '').encode()).hexdigest()}:{seed}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) for i, t, s in rows]
+    sizes: dict = {}
+    for _, s, n, _ in sized:
+        sizes[s] = sizes.get(s, 0) + n
+    out = {}
+    for source, target in plain_targets(sizes).items():
+        own = [(i, n, u, 10 + min(10, max(n, 1).bit_length() - 1)) for i, s, n, u in sized if s == source]
+        lo, hi = 0.0, 1.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(n * min(3.0, mid * lean) for _, n, _, lean in own) < target else (lo, mid)
+        parts = [(i, n, u, min(3.0, hi * lean)) for i, n, u, lean in own]
+        parts = [(i, n, u, int(e + 1e-9), max(0.0, e - int(e + 1e-9))) for i, n, u, e in parts]
+        mark, reached = sum(n * f for _, n, _, _, f in parts), 0
+        for i, n, u, whole, f in sorted(parts, key=lambda x: ((x[2] / (1 - x[2])) / (x[4] / (1 - x[4])) if x[4] > 1e-9 else math.inf, x[0])):
+            out[i] = (whole + (f > 1e-9 and reached + n / 2 <= mark), f)
+            reached += n if f > 1e-9 else 0
+    return out
+
+
+def test_pareto_ranks_by_odds_that_differ_in_a_source(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(["w"] * int(2 ** rng.uniform(0, 10))), f"s{i % 5 % 3}") for i in range(400)]
+    want = plain_mix(rows)
+    got = {r.doc_id: r for r in M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i: r.copies for i, r in got.items()} == {i: c for i, (c, _) in want.items()}
+    fractions = {(r.source, round(r.expected % 1, 6)) for r in got.values()}
+    assert len(fractions) > 6
+    # The draw's order and that of the odds differ: some document is passed over for one with a larger draw.
+    u = {i: (int(hashlib.md5(f"{i}:{hashlib.md5(t.encode()).hexdigest()}:{M.SEED}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i, t, _ in rows}
+    assert any(got[i].source == got[j].source and int(got[i].expected) == int(got[j].expected) and got[i].copies > got[j].copies and u[i] > u[j] for i in got for j in got)
+
+
+def test_mixing_null_and_constant_ids(spark):
+    rows = [(None, f"{'w ' * (i % 50)}x{i}", "a" if i % 3 else "b") for i in range(300)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 300
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 51 and len({r.copies for r in own}) <= 4
+
+
 def test_uniform_is_what_it_says(spark):
     got = spark.range(5).select(M.uniform(F.col("id")).alias("u")).collect()
     assert [r.u for r in got] == [(int(hashlib.md5(f"{i}:{M.SEED}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in range(5)]
