@@ -7,10 +7,13 @@ and a backward gated recurrent unit read windows of WINDOW words; attention pool
 logistic output scores it. Windows start every STRIDE words, so they overlap and cover the whole text, and
 a document's score is the largest of its windows.
 
-Fitting reads a bounded sample of labelled rows (`per_class` toxic and twice as many clean ones at most,
-smallest hash first).
+Fitting reads a bounded sample of labelled rows: PER_CLASS toxic and CLEAN_SHARE times as many clean ones at most,
+smallest hash first, and of each class no more than FIT_BYTES / 2 bytes of text. All of them enter the tables of
+log-odds; the network learns from the windows of all toxic ones and of CLEAN_SHARE times as many clean ones (of
+CLEAN_SHARE x LEAST_TOXIC at least). While it learns, a document's log-odds come from the other FOLDS - 1 folds of
+the sample, so that no document sees its own label through the tables; scoring uses the tables of the whole sample.
 Only documents are labelled, so a document counts through the window whose words have the largest n-gram
-log-odds; clean documents give a random window in each epoch besides.
+log-odds; clean documents give a random window besides.
 
 Scoring is vectorised: words are found on the bytes of an Arrow batch, each distinct word of a slice is
 encoded once, and all windows of a slice step through the network together. Memory is bounded by the slice
@@ -23,12 +26,13 @@ share of label 1.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._arrow import arrow_map, arrow_type, named, pick, prepare, slices, typed, utf8
@@ -45,6 +49,11 @@ SLICE_BYTES = 1 << 20
 PER_CLASS = 2_500
 #: Clean documents for each toxic one in that bound.
 CLEAN_SHARE = 2
+#: Bytes of text of both classes that the fit reads at most.
+FIT_BYTES = 64 << 20
+#: Toxic documents for which the network gets clean windows at least, and folds of the tables while it learns.
+LEAST_TOXIC, FOLDS = 500, 4
+
 
 @dataclass
 class Vocabulary:
@@ -228,13 +237,14 @@ class _Example:
     vocab: Vocabulary
     place: np.ndarray
     label: float
+    fold: int
 
 
-def _example(vocab: Vocabulary, words: np.ndarray, label: float) -> _Example:
+def _example(vocab: Vocabulary, words: np.ndarray, label: float, fold: int) -> _Example:
     own, place = np.unique(words, return_inverse=True)
     counts = vocab.counts[own]
     flat = np.arange(int(counts.sum())) + np.repeat(vocab.first[own] - (np.cumsum(counts) - counts), counts)
-    return _Example(Vocabulary(vocab.hashes[own], vocab.grams[flat], np.cumsum(counts) - counts, counts), place, label)
+    return _Example(Vocabulary(vocab.hashes[own], vocab.grams[flat], np.cumsum(counts) - counts, counts), place, label, fold)
 
 
 def _joined(examples: list[_Example]) -> tuple[Vocabulary, np.ndarray, np.ndarray, np.ndarray]:
@@ -264,30 +274,42 @@ def fit_texts(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int
         raw = np.frombuffer((text or "").encode(), np.uint8)
         return vocabulary(*words_of(raw, np.array([0, len(raw)]))[:3])
 
-    met = np.zeros((2, 2, LOG_ODDS_ROWS), np.int32)  # words or grams, clean or toxic
-    for text, toxic in zip(texts, labels, strict=True):
+    rng = np.random.default_rng(seed)
+    # Folds by the text, so that copies of a document are left out together.
+    fold_of = np.array([zlib.crc32((t or "").encode()) % FOLDS for t in texts])
+    met = np.zeros((FOLDS, 2, 2, LOG_ODDS_ROWS), np.int32)  # words or grams, clean or toxic
+    for text, toxic, fold in zip(texts, labels, fold_of, strict=True):
         vocab, _ = parsed(text)
         for kind, hashes in enumerate((vocab.hashes, vocab.grams)):
-            met[kind, int(toxic), np.unique(hashes % np.uint64(LOG_ODDS_ROWS)).astype(np.int64)] += 1
-    net = Network(_odds(met[0, 1], met[0, 0], n1, n0), _odds(met[1, 1], met[1, 0], n1, n0), prior, Network.weights())
-    rng = np.random.default_rng(seed)
-    clean = rng.permutation(np.flatnonzero(~labels))[: 2 * max(n1, 500)]
+            met[fold, kind, int(toxic), np.unique(hashes % np.uint64(LOG_ODDS_ROWS)).astype(np.int64)] += 1
+    total = met.sum(axis=0)
+    tables = []
+    for fold in range(FOLDS):
+        rest, own = total - met[fold], fold_of == fold
+        m1, m0 = n1 - int((labels & own).sum()), n0 - int((~labels & own).sum())
+        tables.append((_odds(rest[0, 1], rest[0, 0], m1, m0), _odds(rest[1, 1], rest[1, 0], m1, m0)))
+    net = Network(_odds(total[0, 1], total[0, 0], n1, n0), _odds(total[1, 1], total[1, 0], n1, n0), prior, Network.weights())
+    final = (net.word_odds, net.gram_odds)
+    clean = rng.permutation(np.flatnonzero(~labels))[: CLEAN_SHARE * max(n1, LEAST_TOXIC)]
     examples: list[_Example] = []
     for i in np.concatenate([np.flatnonzero(labels), clean]):
         vocab, word = parsed(texts[i])
+        fold = int(fold_of[i])
         first, _ = windows_of(np.array([len(word)]), np.array([0]))
-        odds = np.maximum.reduceat(net.gram_odds[vocab.grams % np.uint64(LOG_ODDS_ROWS)], vocab.first)[word] if len(word) else np.zeros(0)
+        odds = np.maximum.reduceat(tables[fold][1][vocab.grams % np.uint64(LOG_ODDS_ROWS)], vocab.first)[word] if len(word) else np.zeros(0)
         top = int(first[int(np.argmax([odds[a : a + WINDOW].max(initial=0) for a in first]))])
-        examples.append(_example(vocab, word[top : top + WINDOW], float(labels[i])))
+        examples.append(_example(vocab, word[top : top + WINDOW], float(labels[i]), fold))
         if not labels[i]:
             other = int(first[rng.integers(len(first))])
-            examples.append(_example(vocab, word[other : other + WINDOW], 0.0))
+            examples.append(_example(vocab, word[other : other + WINDOW], 0.0, fold))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     step = 0
     for _ in range(max(epochs, -(-least_steps * batch // len(examples)))):
         order = rng.permutation(len(examples))
-        for start in range(0, len(order), batch):
-            vocab, index, mask, target = _joined([examples[i] for i in order[start : start + batch]])
+        batches = [own[a : a + batch] for fold in range(FOLDS) for own in [[i for i in order if examples[i].fold == fold]] for a in range(0, len(own), batch)]
+        for b in rng.permutation(len(batches)):
+            vocab, index, mask, target = _joined([examples[i] for i in batches[b]])
+            net.word_odds, net.gram_odds = tables[examples[batches[b][0]].fold]
             n = len(vocab.hashes)
             x = net.inputs(vocab)
             logits, saved = net.forward(x, index, mask, keep=True)
@@ -303,6 +325,7 @@ def fit_texts(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int
                 m += 0.1 * (grad - m)
                 s += 0.001 * (grad * grad - s)
                 net.w[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    net.word_odds, net.gram_odds = final
     return net
 
 
@@ -313,12 +336,14 @@ def sampled_ids(labels: DataFrame, id_col: str, label_col: str, per_class: int)
     return known.where("label = 1").orderBy(*order).limit(per_class).unionByName(known.where("label = 0").orderBy(*order).limit(per_class * CLEAN_SHARE))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Network:
-    """Fit on (1 + CLEAN_SHARE) x per_class labelled documents at most."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, fit_bytes: int = FIT_BYTES) -> Network:
+    """Fit on (1 + CLEAN_SHARE) x per_class labelled documents and fit_bytes bytes of text at most."""
     chosen = F.broadcast(sampled_ids(labels, id_col, label_col, per_class))
-    rows = pick(docs, key=id_col, text=text_col).join(chosen, "key").select("key", "text", "label").toArrow().sort_by("key")
-    texts = rows.column("text").to_pylist()
-    return fit_texts(texts, rows.column("label").to_numpy())
+    rows = pick(docs, key=id_col, text=text_col).join(chosen, "key").select("key", "text", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    so_far = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounded = rows.withColumn("bytes", F.sum("bytes").over(so_far)).where(F.col("bytes") <= fit_bytes // 2).select("key", "text", "label")
+    sample = bounded.toArrow().sort_by([("key", "ascending"), ("text", "ascending")])
+    return fit_texts(sample.column("text").to_pylist(), sample.column("label").to_numpy())
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
