@@ -6,16 +6,23 @@ found by running Karp-Rabin hashes of falling length, marked without overlap, th
 come in any order, so reordered passages count. The share of an item's words under tiles is its coverage;
 a document is contaminated if the coverage of some item reaches the threshold.
 
+Tiling: common runs are read off the diagonals, from the equal seeds where these are few and row by row where words
+repeat so much that they are many, with the same runs. The longest goes first; a run that lost a part to a longer
+tile returns with what is left of it. So equal words over both texts cost one row operation a word.
+
 The seed index of the benchmark is broadcast if the benchmark has at most BROADCAST_WORDS words; a larger
-benchmark meets the documents in a shuffled join on seeds, with the same result.
+benchmark meets the documents in a shuffled join on seeds, with the same result. There, texts stand for their rows,
+seeds are dealt over SALTS tasks, and a document's text moves once, its items' texts after it.
 
 Words are runs of ASCII letters and digits and of all other non-ASCII characters, A-Z lower-cased.
-Defined results: null and empty texts match nothing; an item without words is never covered; repeated
-documents and repeated items are judged each; an empty benchmark leaves all documents clean.
+Defined results: null and empty texts match nothing; an item without words is never covered; every row of either
+table is judged by its text, whatever its id (ids may repeat or be null), and every benchmark row counts; items are
+listed by id, null first, then by the MD5 of their texts; an empty benchmark leaves all documents clean.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +30,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._arrow import arrow_map, arrow_type, named, pick, slices, typed, utf8
+from tessera.llm._arrow import arrow_map, arrow_type, cut, named, pick, slices, typed, utf8
 from tessera.llm._words import PRIME, gram_hashes, word_hashes, words_of
 
 #: Words of the shortest tile and of a seed; share of an item's words that makes a document contaminated.
 MIN_MATCH, COVERAGE = 5, 0.5
 #: Benchmark words up to which the index is broadcast: 8 bytes a word and 16 a seed, 48 MB at most.
 BROADCAST_WORDS = 2_000_000
-#: First search length of the tiling.
-LONGEST = 64
+#: Tasks over which a seed's documents are dealt in the join.
+SALTS = 8
+#: Equal seeds for each word of the two texts from which runs are read row by row.
+DENSE = 4
+
+
+def _sparse_runs(item: np.ndarray, doc: np.ndarray, shortest: int) -> np.ndarray | None:
+    """(words, place in item, place in doc) of all maximal common runs from the pairs of equal seeds; None if these are too many."""
+    seeds_i, seeds_d = gram_hashes(item, shortest), gram_hashes(doc, shortest)
+    order = np.argsort(seeds_i, kind="stable")
+    ranked = seeds_i[order]
+    lo, hi = np.searchsorted(ranked, seeds_d, side="left"), np.searchsorted(ranked, seeds_d, side="right")
+    counts = hi - lo
+    total = int(counts.sum())
+    if total > DENSE * (len(item) + len(doc)):
+        return None
+    d = np.repeat(np.arange(len(seeds_d)), counts)
+    i = order[np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)]
+    same = np.ones(total, bool)
+    for k in range(shortest):
+        same &= item[i + k] == doc[d + k]
+    i, d = i[same], d[same]
+    by = np.lexsort((d, d - i))
+    i, d = i[by], d[by]
+    new = np.ones(len(i), bool)
+    new[1:] = (d[1:] - i[1:] != d[:-1] - i[:-1]) | (d[1:] != d[:-1] + 1)
+    first = np.flatnonzero(new)
+    return np.stack([np.diff(np.append(first, len(i))) + shortest - 1, i[first], d[first]], axis=1)
+
+
+def _dense_runs(item: np.ndarray, doc: np.ndarray, shortest: int) -> np.ndarray:
+    """The same runs, a row of the item at a time; memory holds two rows and the runs."""
+    found, run = [], np.zeros(len(doc) + 1, np.int64)
+    for i in range(len(item) + 1):
+        now = np.zeros_like(run)
+        if i < len(item):
+            now[1:] = np.where(doc == item[i], run[:-1] + 1, 0)
+        # A run that ends in the row before, at doc place d - 1, isn't continued at d.
+        ended = run >= shortest
+        ended[:-1] &= now[1:] == 0
+        d = np.flatnonzero(ended)
+        found.append(np.stack([run[d], i - run[d], d - run[d]], axis=1))
+        run = now
+    return np.concatenate(found)
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, shortest: int = MIN_MATCH) -> list[tuple[int, int, int]]:
@@ -39,55 +88,36 @@ def tiles(item: np.ndarray, doc: np.ndarray, shortest: int = MIN_MATCH) -> list[
     shortest = min(shortest, len(item))
     if not shortest or len(doc) < shortest:
         return []
+    runs = _sparse_runs(item, doc, shortest)
+    if runs is None:
+        # Only words of the document under a seed can lie under a tile; a word of the rest parts them.
+        hit = np.flatnonzero(np.isin(gram_hashes(doc, shortest), gram_hashes(item, shortest)))
+        under = np.zeros(len(doc) + 1, np.int64)
+        np.add.at(under, hit, 1)
+        np.add.at(under, hit + shortest, -1)
+        at = np.flatnonzero(np.cumsum(under[:-1]) > 0)
+        gaps = np.flatnonzero(np.diff(at) > 1) + 1
+        at = np.insert(at, gaps, -1)
+        stopper = np.setdiff1d(np.arange(len(item) + 1, dtype=np.uint64), item)[0]
+        runs = _dense_runs(item, np.where(at < 0, stopper, doc[at]), shortest)
+        runs[:, 2] = at[runs[:, 2]]
     free_i, free_d = np.ones(len(item), bool), np.ones(len(doc), bool)
-    # Running Karp-Rabin: prefix sums of one polynomial; a run's hash, scaled to the exponent n, is the same wherever it stands.
-    n = max(len(item), len(doc))
-    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, PRIME, np.uint64)]))
-    sums_i = np.concatenate([[np.uint64(0)], np.cumsum(item * power[: len(item)], dtype=np.uint64)])
-    sums_d = np.concatenate([[np.uint64(0)], np.cumsum(doc * power[: len(doc)], dtype=np.uint64)])
-
-    def runs(sums: np.ndarray, size: int) -> np.ndarray:
-        k = len(sums) - size
-        return (sums[size:] - sums[:k]) * power[n - np.arange(k)]
-
-    def open_runs(free: np.ndarray, size: int) -> np.ndarray:
-        marked = np.concatenate([[0], np.cumsum(~free)])
-        return np.flatnonzero(marked[size:] == marked[:-size])
-
+    heap = [(-k, i, d) for k, i, d in runs.tolist()]
+    heapq.heapify(heap)
     out: list[tuple[int, int, int]] = []
-    size = min(len(item), len(doc), LONGEST)
-    while True:
-        size = max(size, shortest)
-        at_i, at_d = open_runs(free_i, size), open_runs(free_d, size)
-        found: list[tuple[int, int, int]] = []
-        if len(at_i) and len(at_d):
-            h_i, h_d = runs(sums_i, size)[at_i], runs(sums_d, size)[at_d]
-            hit = np.isin(h_d, h_i)
-            places: dict[int, list[int]] = {}
-            for p, h in zip(at_i.tolist(), h_i.tolist(), strict=True):
-                places.setdefault(h, []).append(p)
-            for d, h in zip(at_d[hit].tolist(), h_d[hit].tolist(), strict=True):
-                for i in places[h]:
-                    k = size
-                    while i + k < len(item) and d + k < len(doc) and free_i[i + k] and free_d[d + k] and item[i + k] == doc[d + k]:
-                        k += 1
-                    if (item[i : i + size] == doc[d : d + size]).all():
-                        found.append((k, i, d))
-        longest = max((k for k, _, _ in found), default=0)
-        if longest > 2 * size:  # much longer matches than searched for: those first
-            size = longest
-            continue
-        for k, i, d in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if free_i[i : i + k].all() and free_d[d : d + k].all():
-                free_i[i : i + k] = False
-                free_d[d : d + k] = False
-                out.append((i, d, k))
-        if size == shortest:
-            # Runs that lost a part to a longer tile may still hold a shorter one.
-            if not found or all(not (free_i[i : i + size].all() and free_d[d : d + size].all()) for _, i, d in found):
-                return out
+    while heap:
+        k, i, d = heapq.heappop(heap)
+        free = free_i[i : i - k] & free_d[d : d - k]
+        if free.all():
+            free_i[i : i - k] = False
+            free_d[d : d - k] = False
+            out.append((i, d, -k))
             continue
-        size = max(shortest, size // 2) if size > 2 * shortest or not found else max(shortest, size - 1)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a >= shortest:
+                heapq.heappush(heap, (a - b, i + a, d + a))
+    return out
 
 
 def coverage(item: np.ndarray, doc: np.ndarray, shortest: int = MIN_MATCH) -> float:
@@ -120,7 +150,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _by_broadcast(docs, items, id_col, text_col, result, ddl, threshold, min_match) -> DataFrame:
-    rows = [(r.item, w) for r in items.orderBy("item", "text").toLocalIterator() if len(w := _words(r.text))]
+    rows = [(r.item, w) for r in items.orderBy("item", F.md5("text")).toLocalIterator() if len(w := _words(r.text))]
     sizes = sorted({min(min_match, len(w)) for _, w in rows})
     index = {}
     for size in sizes:
@@ -164,28 +194,39 @@ def _by_broadcast(docs, items, id_col, text_col, result, ddl, threshold, min_mat
 
 
 def _by_join(docs, items, id_col, text_col, result, ddl, threshold, min_match) -> DataFrame:
-    """The same for a benchmark of any size: distinct seeds of both sides meet in a shuffled join."""
-    frame = pick(docs, key=id_col, text=text_col)
-    lengths = [r[0] for r in arrow_map(items.select("item", "text"), _seed_rows("item", None, min_match, arrow_type(items, "item")), f"{typed(items, 'item', 'key')}, size int, seed bigint").select("size").distinct().collect()]
-    item_seeds = arrow_map(items.select("item", "text"), _seed_rows("item", None, min_match, arrow_type(items, "item")), f"{typed(items, 'item', 'key')}, size int, seed bigint")
-    doc_seeds = arrow_map(frame, _seed_rows("key", lengths, min_match, arrow_type(frame, "key")), f"{typed(frame, 'key', 'key')}, size int, seed bigint")
-    pairs = doc_seeds.join(item_seeds.select(F.col("key").alias("item"), "size", "seed").distinct(), ["size", "seed"]).select("key", "item").distinct()
-    sides = pairs.join(frame.withColumnRenamed("text", "doc_text"), "key").join(items, "item")
-    scored_schema = pa.schema([("key", result.field("key").type), ("item", result.field("items").type.value_type), ("share", pa.float64())])
+    """The same for a benchmark of any size: distinct seeds of both sides meet in a shuffled join of texts."""
+    by_text = lambda df, name: df.withColumn(name, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    frame, wanted = by_text(pick(docs, key=id_col, text=text_col), "d"), by_text(items, "i")
+    texts, questions = frame.select("d", "text").dropDuplicates(["d"]), wanted.select("i", "text").dropDuplicates(["i"])
+    item_seeds = cut(arrow_map(questions, _seed_rows("i", None, min_match), "i binary, size int, seed bigint"))
+    lengths = [r[0] for r in item_seeds.select("size").distinct().collect()]  # min_match of them at most
+    dealt = item_seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    doc_seeds = arrow_map(frame.select("d", "text"), _seed_rows("d", lengths, min_match), "d binary, size int, seed bigint").withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int"))
+    pairs = cut(doc_seeds.join(dealt, ["size", "seed", "salt"]).select("d", "i").distinct())
+    none = lambda kind: F.lit(None).cast(kind)
+    found = texts.join(pairs.select("d").distinct(), "d", "left_semi").select("d", none("binary").alias("i"), "text")
+    rows = found.unionAll(pairs.join(questions, "i").select("d", "i", "text")).repartition("d").sortWithinPartitions("d", "i")
+    schema = pa.schema([("d", pa.binary()), ("i", pa.binary()), ("share", pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc = np.zeros(0, np.uint64)  # of the row with a null item, which goes before the items of its document
         for batch in batches:
-            shares = [coverage(_words(a), _words(b), min_match) for a, b in zip(batch.column("text").to_pylist(), batch.column("doc_text").to_pylist(), strict=True)]
-            yield named(scored_schema, key=batch.column("key"), item=batch.column("item"), share=shares)
+            shares = []
+            for item, text in zip(batch.column("i").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if item is None:
+                    doc = _words(text)
+                shares.append(None if item is None else coverage(_words(text), doc, min_match))
+            yield named(schema, d=batch.column("d"), i=batch.column("i"), share=shares)
 
-    scored = arrow_map(sides.select("key", "item", "text", "doc_text"), score, f"{typed(frame, 'key', 'key')}, {typed(items, 'item', 'item')}, share double")
-    by_doc = scored.groupBy("key").agg(F.array_sort(F.array_compact(F.collect_set(F.when(F.col("share") >= threshold, F.col("item"))))).alias("items"), F.max("share").alias("coverage"))
-    return frame.select("key").join(by_doc, "key", "left").select("key", F.coalesce("items", F.array().cast(by_doc.schema["items"].dataType)).alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    scored = arrow_map(rows, score, "d binary, i binary, share double").where("i is not null")
+    each = scored.join(wanted.select("i", "item"), "i")
+    by_doc = each.groupBy("d").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("share") >= threshold, F.struct("item", "i")))), lambda x: x["item"]).alias("items"), F.max("share").alias("coverage"))
+    return frame.join(by_doc, "d", "left").select("key", F.coalesce("items", F.array().cast(by_doc.schema["items"].dataType)).alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
-def _seed_rows(key: str, lengths: list[int] | None, min_match: int, key_type: pa.DataType):
-    """Distinct seeds of each row: of its own length (lengths None) or of all the lengths given."""
-    schema = pa.schema([("key", key_type), ("size", pa.int32()), ("seed", pa.int64())])
+def _seed_rows(key: str, lengths: list[int] | None, min_match: int):
+    """Distinct seeds of each text: of its own length (lengths None) or of all the lengths given."""
+    schema = pa.schema([(key, pa.binary()), ("size", pa.int32()), ("seed", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,6 +240,6 @@ def _seed_rows(key: str, lengths: list[int] | None, min_match: int, key_type: pa
                         sizes.append(np.full(len(own), size, np.int32))
                         seeds.append(own.view(np.int64))
                 if rows:
-                    yield named(schema, key=part.column(key).take(pa.array(np.concatenate(rows))), size=np.concatenate(sizes), seed=np.concatenate(seeds))
+                    yield named(schema, **{key: part.column(key).take(pa.array(np.concatenate(rows)))}, size=np.concatenate(sizes), seed=np.concatenate(seeds))
 
     return run

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -191,6 +192,51 @@ def test_tiles_with_repeats_stay_disjoint():
     assert D.coverage(np.zeros(0, np.uint64), b, 5) == 0.0
 
 
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=25), st.lists(st.integers(0, 3), max_size=35), st.sampled_from([D.DENSE, -1]))
+def test_tiles_of_repeated_words_against_the_plain_definition(item, doc, dense):
+    a, b = np.array(item, np.uint64), np.array(doc, np.uint64)
+    before, D.DENSE = D.DENSE, dense  # -1: always row by row
+    try:
+        assert sum(k for *_, k in D.tiles(a, b, 5)) == greedy(item, doc, 5)
+    finally:
+        D.DENSE = before
+
+
+def test_tiles_of_many_equal_words_are_bounded():
+    same = np.full(6000, 7, np.uint64)
+    start = time.process_time()
+    assert D.tiles(same, same) == [(0, 0, 6000)] and time.process_time() - start < 30
+
+
+def test_both_paths_of_decontamination_equal_brute_force(spark):
+    rng = random.Random(4)
+    words = lambda n, v: [f"k{rng.randrange(v)}" for _ in range(n)]
+    bench = [(i if i % 4 else None, " ".join(words(rng.choice([3, 12, 25]), 60))) for i in range(14)]
+    bench += [bench[1], (1, bench[2][1]), (None, bench[3][1]), (77, ""), (78, None)]
+    rows = []
+    for i in range(40):
+        parts = [words(20, 60)] + [(t or "").split()[rng.randrange(3) :] for _, t in rng.sample(bench, 2)]
+        rng.shuffle(parts)
+        rows.append((rng.choice([None, 1, 2, i]), " ".join(w for p in parts for w in p)))
+    rows += [(5, None), (None, None), (5, ""), rows[0], (1, " ".join(["k1"] * 3000)), (2, bench[5][1].upper())]
+    bench += [(90, " ".join(["k1"] * 300))]
+
+    def plain(text):
+        shares = [(i, hashlib.md5((t or "").encode()).hexdigest(), greedy(t.split(), (text or "").lower().split(), 5) / len(t.split())) for i, t in bench if t and t.split()] if len(text or "") < 5000 else None
+        if shares is None:
+            return (90,), 1.0
+        hits = sorted(((i is not None, i or 0, h) for i, h, c in shares if c >= D.COVERAGE))
+        return tuple(i if known else None for known, i, _ in hits), max((c for *_, c in shares), default=0.0)
+
+    want = sorted((repr(i), repr(plain(t)[0]), round(plain(t)[1], 9)) for i, t in rows)
+    b = spark.createDataFrame(bench, "item_id long, text string").repartition(3)
+    for limit in (D.BROADCAST_WORDS, 1):
+        got = D.decontaminate(frame(spark, rows), b, broadcast_words=limit).collect()
+        assert sorted((repr(r.doc_id), repr(tuple(r["items"])), round(r.coverage, 9)) for r in got) == want
+        assert all(r.n_items == len(r["items"]) and r.contaminated == (r.n_items > 0) for r in got)
+
+
 def test_decontamination_finds_passages(spark):
     rng = random.Random(1)
     items = [(i, " ".join(f"q{i}w{j}" for j in range(30))) for i in range(8)] + [(8, "tiny item"), (9, None), (10, "")]
