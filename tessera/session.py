@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that operators rely on for results (UTC, ANSI) or for plans (AQE).
@@ -32,10 +34,13 @@ def build_session(app: str = "tessera", cores: int | str = "*", shuffle_partitio
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a frame that several steps read, in the shared folder of spark.checkpoint.dir.
 
-    Lost executors don't lose it, and later plans start here instead of repeating all that came before. The
-    folder is set only where the session names none (one machine, tests).
+    Lost executors don't lose it, and later plans start here instead of repeating all that came before. A local
+    folder is taken only where the session names none on one machine, as in tests; a cluster must name one.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints")
     return df.checkpoint(eager=True)
