@@ -2,9 +2,14 @@
 
 The standard library's parser streams events; block elements end lines. Each line has its characters, the
 tags met in it and its place in the tree. The ratio of text to tags is smoothed over neighbouring lines,
-and lines at or above the threshold (the smaller of mean and standard deviation) form the content cluster. The cluster selects the region: the article or main element with most of it, else the
-deepest container that holds nearly all of it. All lines of the region are kept, short ones too, except
-those under elements that never belong to an article (menus, footers, forms, adverts, comments, ...).
+and lines at or above the threshold (the smaller of mean and standard deviation) form the content clusters.
+
+Menus, footers, forms, adverts and the like are marked by element, class, id or role. A mark says nothing, and the
+clusters alone decide, where it can't be meant: on an element that is never closed, on one that holds the page's
+articles while none stands outside of it, and on a form with more than half of the clusters' text.
+The clusters select the region: the article or main element with most of their text; without one, the smallest
+element that holds all their lines, from the first of these to the last, and the headings right before them. All
+lines of the region without a mark are kept, short ones too.
 
 Defined results: null, empty or markup-only pages give an empty text; unclosed and stray tags are
 tolerated; a page without any markup is one line; equal pages give equal texts.
@@ -16,6 +21,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +36,9 @@ OUTSIDE = frozenset("nav footer aside form dialog menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that may stay open, and headings.
+OPEN = frozenset("p li dt dd tr td th thead tbody tfoot colgroup option optgroup html body".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class or id, and roles, that mark what is no article text.
 MARKS = re.compile(
@@ -53,13 +62,20 @@ def marked(names: str) -> bool:
     return any(MARKS.search(x) for x in names.split() if not x.lower().startswith(("has-", "no-", "with-", "without-")))
 
 
+class _Node(NamedTuple):
+    parent: int
+    tag: str
+    marked: bool
+
+
 class _Lines(HTMLParser):
-    """Turns parser events into lines (text, tags, node); nodes are (parent, tag) by index."""
+    """Turns parser events into lines (text, tags, node) and a tree of nodes; parents come before children."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes: list[tuple[int, str]] = [(-1, "#root")]
-        self.stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # tag, node, excluded
+        self.nodes = [_Node(-1, "#root", False)]
+        self.unclosed: set[int] = set()
+        self.stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # tag, node, silent
         self.lines: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -72,44 +88,55 @@ class _Lines(HTMLParser):
                 self.tags = 0
             self.parts.clear()
 
+    def leave(self, depth: int, closed: int) -> None:
+        """Ends the open elements from depth on, of which that at `closed` has its end tag."""
+        for at in range(depth, len(self.stack)):
+            if at != closed and self.stack[at][0] not in OPEN:
+                self.unclosed.add(self.stack[at][1])
+        del self.stack[depth:]
+
+    def close(self) -> None:
+        super().close()
+        self.flush()
+        self.leave(1, -1)
+
     def handle_starttag(self, tag: str, attrs) -> None:
-        if tag in BLOCKS:
+        silent = self.stack[-1][2]
+        if tag in BLOCKS and not silent:
             self.flush()
         self.tags += 1
         if tag in VOID:
             return
         if tag == "body":  # whatever the head left open ends here
-            while len(self.stack) > 1 and self.stack[-1][0] != "html":
-                self.stack.pop()
+            self.leave(next((i + 1 for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == "html"), 1), -1)
+            silent = False
         for open_tag in _CLOSES.get(tag, ()):
             if self.stack[-1][0] == open_tag:
                 self.stack.pop()
                 break
         inside = any(t in ("article", "main") for t, _, _ in self.stack)
-        out = self.stack[-1][2] or tag in SILENT or tag in OUTSIDE or (tag == "header" and not inside)
+        out = tag in OUTSIDE or (tag == "header" and not inside)
         if not out and attrs and tag not in ("html", "body", "article", "main"):
             for name, value in attrs:
                 if (name in ("class", "id") and value and marked(value)) or (name == "role" and value in ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
                     out = True
         elif not out and attrs and tag == "article":  # reader comments are often articles of their own
             out = any(name in ("class", "id") and value and re.search(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", value, re.IGNORECASE) for name, value in attrs)
-        self.nodes.append((self.stack[-1][1], tag))
-        self.stack.append((tag, len(self.nodes) - 1, out))
+        self.nodes.append(_Node(self.stack[-1][1], tag, out))
+        self.stack.append((tag, len(self.nodes) - 1, silent or tag in SILENT))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS:
+        if tag in BLOCKS and not self.stack[-1][2]:
             self.flush()
         self.tags += 1
         for depth in range(len(self.stack) - 1, 0, -1):
             if self.stack[depth][0] == tag:
-                del self.stack[depth:]
+                self.leave(depth, depth)
                 break
 
     def handle_data(self, data: str) -> None:
@@ -126,39 +153,82 @@ def smoothed(ratios: list[float]) -> list[float]:
     return out
 
 
+def _up(values: list, nodes: list[_Node], join) -> list:
+    """Values of nodes joined into those of their parents, from the leaves on."""
+    for n in range(len(nodes) - 1, 0, -1):
+        values[nodes[n].parent] = join(values[nodes[n].parent], values[n])
+    return values
+
+
 def content_lines(html: str) -> list[str]:
     """Lines of the main text, in page order."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    parser.flush()
     lines, nodes = parser.lines, parser.nodes
     if not lines:
         return []
-    smooth = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
-    mean = sum(smooth) / len(smooth)
-    deviation = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
-    threshold = min(mean, deviation) if deviation > 0 else 0.0
-    mass: dict[int, float] = {}
-    total = 0.0
-    for (text, _, node), ratio in zip(lines, smooth, strict=True):
-        if ratio >= threshold:
-            total += len(text)
-            while node >= 0:
-                mass[node] = mass.get(node, 0.0) + len(text)
-                node = nodes[node][0]
-    articles = [n for n in mass if nodes[n][1] in ("article", "main")]
+
+    def clusters(of: list[int]) -> list[int]:
+        """Those of the lines that are in content clusters."""
+        smooth = smoothed([len(lines[i][0]) / max(1, lines[i][1]) for i in of])
+        mean = sum(smooth) / len(smooth)
+        deviation = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+        threshold = min(mean, deviation) if deviation > 0 else 0.0
+        return [i for i, x in zip(of, smooth, strict=True) if x >= threshold]
+
+    def mass(of: list[int]) -> list[int]:
+        """Characters of these lines in each element."""
+        own = [0] * len(nodes)
+        for i in of:
+            own[lines[i][2]] += len(lines[i][0])
+        return _up(own, nodes, lambda x, y: x + y)
+
+    # Marks that count; out[n]: whether n or an element around it has one.
+    texts = mass(clusters(list(range(len(lines)))))
+    real = [n.tag in ("article", "main") and not n.marked and texts[i] > 0 for i, n in enumerate(nodes)]
+    counts = [n.marked and i not in parser.unclosed and not (n.tag == "form" and 2 * texts[i] > texts[0]) for i, n in enumerate(nodes)]
+
+    def outside(counts: list[bool]) -> list[bool]:
+        out = list(counts)
+        for i in range(1, len(nodes)):
+            out[i] = out[i] or out[nodes[i].parent]
+        return out
+
+    out = outside(counts)
+    if any(real) and not any(r and not o for r, o in zip(real, out, strict=True)):
+        holds = _up(list(real), nodes, lambda x, y: x or y)
+        out = outside([c and not h for c, h in zip(counts, holds, strict=True)])
+    open_lines = [i for i, (_, _, node) in enumerate(lines) if not out[node]]
+    if not open_lines:
+        return []
+    content = clusters(open_lines)
+    texts = mass(content)
+    articles = [i for i, n in enumerate(nodes) if n.tag in ("article", "main") and texts[i] > 0]
+
+    def under(region: int) -> list[int]:
+        inside = [False] * len(nodes)
+        inside[region] = True
+        for n in range(region + 1, len(nodes)):
+            inside[n] = inside[nodes[n].parent]
+        return [i for i in open_lines if inside[lines[i][2]]]
+
     if articles:
-        region = max(articles, key=lambda n: (mass[n], n))  # of equal ones the inner
-    else:
-        region = max((n for n in mass if mass[n] >= 0.9 * total and nodes[n][1] not in ("p", "li", "b", "i", "a", "span", "em", "strong", "h1", "h2", "h3", "h4", "h5", "h6")), default=0)
-    kept = []
-    for text, _, node in lines:
-        while node > region:
-            node = nodes[node][0]
-        if node == region:
-            kept.append(text)
-    return kept
+        return [lines[i][0] for i in under(max(articles, key=lambda n: (texts[n], n)))]  # of equal ones the inner
+    region = max(n for n in range(len(nodes)) if texts[n] == texts[0])
+    kept = [i for i in under(region) if content[0] <= i <= content[-1]]
+    before = [i for i in open_lines if i < kept[0]]
+    while before and _heading(lines[before[-1]][2], nodes):
+        kept.insert(0, before.pop())
+    return [lines[i][0] for i in kept]
+
+
+def _heading(node: int, nodes: list[_Node]) -> bool:
+    while node > 0:
+        if nodes[node].tag in HEADINGS:
+            return True
+        node = nodes[node].parent
+    return False
 
 
 def extract_text(html: str | None) -> str:

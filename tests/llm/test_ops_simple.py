@@ -143,6 +143,11 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         ("<main><p>kept</p></main><p>a much longer paragraph outside of the main element</p>", "kept"),
         ("<p>unclosed <i>tags <p>and </b>stray", "unclosed tags\nand stray"),
         ("<div hidden>no</div><p>&#65;&eacute;&unknown;</p>", "Aé&unknown;"),
+        ("<body><form action='/x'><h1>T</h1><p>A page that is wrapped in one form.</p><p>Second one.</p><input><select><option>a<option>b</select></form><footer>f</footer></body>", "T\nA page that is wrapped in one form.\nSecond one."),
+        ("<body><div class=ad>Buy<article><h1>T</h1><p>An article after an advert that never ends.</p></article></body>", "T\nAn article after an advert that never ends."),
+        ("<body><div class='sidebar-left promo'><article><p>An article whose wrapper is named oddly.</p></article></div></body>", "An article whose wrapper is named oddly."),
+        ("<article><p>one <select><option>x</option><option>y</option></select> two</p><div class='share'>Share!<p>An unclosed mark keeps what follows.</p></article>", "one two\nShare!\nAn unclosed mark keeps what follows."),
+        ("<body><div><a>x</a> <a>y</a> <a>z</a></div><h2>Heading</h2><div><p>A first paragraph of many words.</p><p>No.</p><p>Another paragraph of many words.</p></div><div><p>The second block of text counts too.</p></div></body>", "Heading\nA first paragraph of many words.\nNo.\nAnother paragraph of many words.\nThe second block of text counts too."),
         ("<article class='comment'><p>a long reader comment that goes on and on</p></article><article><p>body</p></article>", "body"),
     ],
 )
@@ -150,6 +155,34 @@ def test_extract_text(html, text):
     assert H.extract_text(html) == text
 
 
+def test_generated_pages_give_back_their_articles():
+    """Pages built around a known article; the expected text never passes through the operator's code."""
+    rng = np.random.default_rng(11)
+    sentence = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n))
+    noise = [
+        lambda: f"<nav><ul>{''.join(f'<li><a href=/{i}>{sentence(2)}</a></li>' for i in range(5))}</ul></nav>",
+        lambda: f"<div class='cookie-notice'><p>{sentence(12)}</p></div>",
+        lambda: f"<aside><h3>{sentence(2)}</h3><p>{sentence(30)}</p></aside>",
+        lambda: f"<form><label>{sentence(2)}</label><input><button>{sentence(1)}</button></form>",
+        lambda: f"<script>var x = '<p>{sentence(9)}</p>';</script><style>p {{ color: red }}</style>",
+        lambda: f"<div id=comments><article class=comment><p>{sentence(40)}</p></article></div>",
+        lambda: f"<!-- {sentence(5)} --><div class='ad'>{sentence(7)}</div>",
+    ]
+    for _ in range(60):
+        around = lambda: "".join(noise[i]() for i in rng.integers(0, len(noise), 3))
+        blocks = [sentence(int(rng.integers(1, 50))) for _ in range(int(rng.integers(1, 9)))]
+        kinds = [str(rng.choice(["p", "blockquote", "h2", "li"])) for _ in blocks]
+        body = "".join(f"<{k}>{b.replace(' ', chr(10) + '  ', 1)} &amp; <b>x</b></{k}>" + (noise[i % 7]() if rng.random() < 0.2 else "") for i, (k, b) in enumerate(zip(kinds, blocks, strict=True)))
+        tag = str(rng.choice(["article", "main"]))
+        page = f"<html><head><title>{sentence(3)}</title></head><body><header><p>{sentence(20)}</p></header>{around()}<{tag}><h1>Head</h1>{body}</{tag}>{around()}<footer>{sentence(9)}</footer></body></html>"
+        assert H.extract_text(page) == "\n".join(["Head", *(f"{b} & x" for b in blocks)])
+
+
+def test_very_long_and_deep_pages():
+    assert H.extract_text("<article>" + "<p>word word</p>" * 20_000 + "</article>").count("\n") == 19_999
+    assert H.extract_text("<div>" * 2000 + "<p>in the depth</p>") == "in the depth"
+
+
 def test_main_text_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "k"), (1, "u", PAGE, "k"), (2, None, None, "k")], "page_id long, url string, html string, text string")
     rows = H.main_text(pages).collect()
