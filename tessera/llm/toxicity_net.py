@@ -12,7 +12,7 @@ smallest hash first, and of each class no more than FIT_BYTES / 2 bytes of text.
 log-odds; the network learns from the windows of all toxic ones and of CLEAN_SHARE times as many clean ones (of
 CLEAN_SHARE x LEAST_TOXIC at least). While it learns, a document's log-odds come from the other FOLDS - 1 folds of
 the sample, so that no document sees its own label through the tables; scoring uses the tables of the whole sample.
-Only documents are labelled, so a document counts through the window whose words have the largest n-gram
+The fit runs in one executor task. Only documents are labelled, so a document counts through the window whose words have the largest n-gram
 log-odds; clean documents give a random window besides.
 
 Scoring is vectorised: words are found on the bytes of an Arrow batch, each distinct word of a slice is
@@ -26,6 +26,7 @@ share of label 1.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -244,7 +245,9 @@ def _example(vocab: Vocabulary, words: np.ndarray, label: float, fold: int) -> _
     own, place = np.unique(words, return_inverse=True)
     counts = vocab.counts[own]
     flat = np.arange(int(counts.sum())) + np.repeat(vocab.first[own] - (np.cumsum(counts) - counts), counts)
-    return _Example(Vocabulary(vocab.hashes[own], vocab.grams[flat], np.cumsum(counts) - counts, counts), place, label, fold)
+    # Only places in tables of LOG_ODDS_ROWS rows, of which EMBED_ROWS is a divisor, are read from hashes.
+    hashes, grams = ((x % np.uint64(LOG_ODDS_ROWS)).astype(np.uint32) for x in (vocab.hashes[own], vocab.grams[flat]))
+    return _Example(Vocabulary(hashes, grams, np.cumsum(counts) - counts, counts), place, label, fold)
 
 
 def _joined(examples: list[_Example]) -> tuple[Vocabulary, np.ndarray, np.ndarray, np.ndarray]:
@@ -342,8 +345,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = pick(docs, key=id_col, text=text_col).join(chosen, "key").select("key", "text", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
     so_far = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bounded = rows.withColumn("bytes", F.sum("bytes").over(so_far)).where(F.col("bytes") <= fit_bytes // 2).select("key", "text", "label")
-    sample = bounded.toArrow().sort_by([("key", "ascending"), ("text", "ascending")])
-    return fit_texts(sample.column("text").to_pylist(), sample.column("label").to_numpy())
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, known = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            known += batch.column("label").to_pylist()
+        yield pa.record_batch({"net": pa.array([pickle.dumps(fit_texts(texts, np.array(known, np.int64)))], pa.binary())})
+
+    # One executor task learns; if it is lost, it runs again, from the same sample in the same order.
+    ordered = bounded.repartition(1).sortWithinPartitions("key", "text", "label").select("text", "label")
+    learned = arrow_map(ordered, learn, "net binary").collect()
+    return pickle.loads(learned[0].net) if learned else fit_texts([], np.zeros(0, np.int64))
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
