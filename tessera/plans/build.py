@@ -141,3 +141,31 @@ def quality_baseline(obs: DataFrame, built: Core, years: tuple[int, int], countr
         metrics = metrics.unionByName(quality.core_metrics(built.staged["load_log"], built.rejected, built.fact, built.reconciled, built.groups))
     metrics = cut(metrics)
     return metrics.unionByName(quality.scores(metrics))
+
+
+#: Tables of a run from the most dependent layer to the first; each layer's log goes first, so a half-purged run isn't there.
+PURGE_ORDER = ("marts", "core", "staging")
+RUN_LOGS = ("build_log", "load_log")
+
+
+def purge_run(spark: SparkSession, warehouse: str, run_id: str) -> list[str]:
+    """Delete a run's partitions from all layers, those that depend on others first; returns what was deleted.
+
+    A run that isn't there deletes nothing. The files are found through Spark's file systems, so any store will do.
+    """
+    if not run_id or "/" in run_id:
+        raise ValueError(f"no run id: {run_id!r}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(warehouse)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for layer in PURGE_ORDER:
+        folder = hadoop.Path(f"{warehouse}/{layer}")
+        if not fs.exists(folder):
+            continue
+        names = sorted((s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()), key=lambda name: (name not in RUN_LOGS, name))
+        for name in names:
+            part = hadoop.Path(f"{warehouse}/{layer}/{name}/run_id={run_id}")
+            if fs.exists(part) and fs.delete(part, True):
+                gone.append(f"{layer}/{name}")
+    return gone

@@ -700,14 +700,8 @@ def json_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
-@register("name_normalize", "SELECT doc_id, regexp_replace(translate(lower(left(text, 200)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]', '', 'g') AS name FROM documents")
+@register("name_normalize", "SELECT doc_id, CAST(length(name) AS BIGINT) AS n_chars, sha256(name) AS name_sha256 FROM (SELECT doc_id, regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]', '', 'g') AS name FROM documents)")
 def name_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", scalars.normalize_name(F.left("text", F.lit(200))).alias("name"))
-
-
-@register("name_normalize_whole", "SELECT doc_id, CAST(length(name) AS BIGINT) AS n_chars, sha256(name) AS name_sha256 FROM (SELECT doc_id, regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]', '', 'g') AS name FROM documents)")
-def name_normalize_whole(spark, sf_dir):
-    """Like name_normalize, whose SQL takes 200 characters, over whole texts."""
     names = table(spark, sf_dir, "documents").select("doc_id", scalars.normalize_name(F.col("text")).alias("name"))
     return names.select("doc_id", F.length("name").cast("long").alias("n_chars"), F.sha2("name", 256).alias("name_sha256"))
 
@@ -720,7 +714,11 @@ def typed_values(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalars.typed_double(text).isNotNull().alias("typed"), F.when(e % 5 >= 3, scalars.typed_long(text)).alias("whole"), scalars.year_of(period).alias("year"))
 
 
-@register("schema_contract")
+@register(
+    "schema_contract",
+    "SELECT * FROM (SELECT 'orders' AS source, coalesce(string_agg(r, ',' ORDER BY r) FILTER (WHERE r NOT IN (SELECT column_name FROM (DESCRIBE orders))), '') AS missing, (SELECT coalesce(string_agg(column_name, ',' ORDER BY column_name) FILTER (WHERE column_name NOT IN ('o_orderkey', 'o_totalprice', 'o_custkey', 'o_orderstatus', 'o_orderdate', 'o_orderpriority')), '') FROM (DESCRIBE orders)) AS unexpected FROM (VALUES ('o_orderkey'), ('o_totalprice')) t(r) "
+    "UNION ALL SELECT 'events', coalesce(string_agg(r, ',' ORDER BY r) FILTER (WHERE r NOT IN (SELECT column_name FROM (DESCRIBE events))), ''), (SELECT coalesce(string_agg(column_name, ',' ORDER BY column_name) FILTER (WHERE column_name NOT IN ('event_id', 'missing_field', 'ts', 'user_id', 'event_type', 'value')), '') FROM (DESCRIBE events)) FROM (VALUES ('event_id'), ('missing_field')) t(r)) x",
+)
 def schema_contract(spark, sf_dir):
     """Required and known columns of the tables against what their files have."""
     wanted = {"orders": (["o_orderkey", "o_totalprice"], ["o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]), "events": (["event_id", "missing_field"], ["ts", "user_id", "event_type", "value"])}
