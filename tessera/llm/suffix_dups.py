@@ -15,8 +15,11 @@ form a segment, at most a few hundred bytes longer than the windows it covers.
    puts all windows in corpus order. Equal windows are neighbours there.
 5. Repeated windows go back to the documents as spans.
 
-A key with more than HOT_BYTES of distinct segments is dealt out window by window: hashes of 128 bits are
-counted by a pre-aggregation and joined back, which is exact up to hash clashes at any size.
+A key with more than HOT_BYTES of distinct segments is parsed on: its segments are cut again where any of SUB further
+triggers of a window changes, each the smallest by another hash, and the same steps run on these shorter segments
+with all triggers as their key, LEVELS times at most. What is still together then are windows that differ in a few
+bytes only; there the whole window is the key, counted by a pre-aggregation of its hash. So no task sorts more than
+HOT_BYTES of one key, and nothing is dropped. Equality of segments and windows is that of two 64-bit hashes.
 
 Defined results: null counts as empty; texts shorter than LENGTH bytes keep all; repeated rows are copies of
 each other; an empty table gives an empty result; windows never run over the end of a text. Cut bytes
@@ -41,6 +44,8 @@ LENGTH, GRAM = 400, 16
 TRIGGER = np.uint64(48)
 #: Distinct bytes of a key that are sorted in one task.
 HOT_BYTES = 4 << 20
+#: Further triggers that part a hot key at each level, and levels.
+SUB, LEVELS = 4, 2
 #: Bytes that go through one sort; text that is scanned at once (positions fit in 20 bits).
 SORT_BYTES, SCAN_BYTES = 1 << 20, 1 << 20
 FILTER_BITS = 1 << 26
@@ -62,23 +67,30 @@ def _window_min(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(after[:n], before[size - 1 : size - 1 + n])
 
 
-def _segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, first window, last window, whether the key's place moves) of every run of windows with one key."""
+def _segments(raw: np.ndarray, offsets: np.ndarray, length: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, first window, last window, whether the key's place moves) of every run of windows with one key.
+
+    The key is a window's smallest trigger; from level 1 on, the triggers that are smallest by SUB x level further hashes.
+    """
     none = np.zeros(0, np.int64)
     if len(raw) < length:
         return none, none, none, none, none.astype(bool)
     grams = len(raw) - GRAM + 1
     at = np.arange(grams)
-    h = mixed(Spans(raw)(at, at + GRAM))
-    best = _window_min((h & ~_PLACE) | at.astype(np.uint64), length - GRAM + 1)
-    starts = np.arange(len(best))
+    grams_hash = mixed(Spans(raw)(at, at + GRAM))
+    starts = np.arange(grams - (length - GRAM))
     text = np.searchsorted(offsets, starts, side="right") - 1
     valid = starts + length <= offsets[text + 1]
-    starts, text, best = starts[valid], text[valid], best[valid]
+    starts, text = starts[valid], text[valid]
     if not len(starts):
         return none, none, none, none, none.astype(bool)
-    place = (best & _PLACE).astype(np.int64)
-    key = h[place]
+    key, place = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64)
+    for salt in range(level * SUB + 1) if level else (0,):
+        h = mixed(grams_hash ^ np.uint64(salt * 0x9E3779B9)) if salt else grams_hash
+        best = _window_min((h & ~_PLACE) | at.astype(np.uint64), length - GRAM + 1)[valid]
+        own = (best & _PLACE).astype(np.int64)
+        key = mixed(key * np.uint64(31) + h[own]) if level else h[own]
+        place = place * 31 + own
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (starts[1:] != starts[:-1] + 1)])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
@@ -112,6 +124,11 @@ def _count_keys(length: int):
     return run
 
 
+def _identity(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each run of bytes, which stand for it."""
+    return tuple(mixed(spans(a, b) + (b - a).astype(np.uint64)).view(np.int64) for spans in (Spans(raw), Spans(raw, PRIME_2)))
+
+
 def _cut_segments(shared, length: int, key_type: pa.DataType):
     """Occurrences of segments with wanted keys. The bytes are there where a task meets a segment first."""
     schema = pa.schema([("k", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("size", pa.int32()), ("moves", pa.bool_()), ("key", key_type), ("tag", pa.int64()), ("start", pa.int64()), ("seg", pa.binary())])
@@ -128,8 +145,7 @@ def _cut_segments(shared, length: int, key_type: pa.DataType):
                     if not len(hit):
                         continue
                     a, b = first[hit], last[hit] + length
-                    s1 = mixed(Spans(raw)(a, b) + (b - a).astype(np.uint64)).view(np.int64)
-                    s2 = mixed(Spans(raw, PRIME_2)(a, b) + (b - a).astype(np.uint64)).view(np.int64)
+                    s1, s2 = _identity(raw, a, b)
                     one = np.zeros(len(hit), bool)
                     one[np.unique(s1, return_index=True)[1]] = True
                     one &= ~np.isin(s1, met)
@@ -304,6 +320,26 @@ def _sort_keys(length: int):
     return run
 
 
+def _cut_again(length: int, level: int):
+    """(k, s1, s2, size, moves, p1, p2, start, seg): segments of the next level inside the segments p of hot keys."""
+    schema = pa.schema([("k", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("size", pa.int32()), ("moves", pa.bool_()), ("p1", pa.int64()), ("p2", pa.int64()), ("start", pa.int32()), ("seg", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "seg", SCAN_BYTES // 4):
+                whole = part.column("seg").to_pylist()
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in whole])])
+                data = b"".join(whole)
+                raw = np.frombuffer(data, np.uint8)
+                k, text, first, last, moves = _segments(raw, offsets, length, level)
+                a, b = first, last + length
+                s1, s2 = _identity(raw, a, b)
+                of = pa.array(text)
+                yield named(schema, k=k, s1=s1, s2=s2, size=(b - a).astype(np.int32), moves=moves, p1=part.column("s1").take(of), p2=part.column("s2").take(of), start=(a - offsets[text]).astype(np.int32), seg=[data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+
+    return run
+
+
 def _window_rows(length: int):
     """(w1, w2, s1, s2, at): every window of the segments of hot keys."""
     schema = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "s1", "s2")] + [("at", pa.int32())])
@@ -337,7 +373,7 @@ def _join_windows(length: int):
 _SPANS = "s1 bigint, s2 bigint, spans array<int>"
 
 
-def repeated_spans(found: DataFrame, length: int, hot_bytes: int) -> DataFrame:
+def repeated_spans(found: DataFrame, length: int, hot_bytes: int, level: int = 0) -> DataFrame:
     """(s1, s2, spans) of the segments that repeat something; a segment may have several rows."""
     counts = cut(found.groupBy("k", "s1", "s2").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.max("moves").alias("moves")))
     whole = counts.where("n > 1").select("s1", "s2", F.array(F.lit(0), "size").alias("spans"))
@@ -351,7 +387,13 @@ def repeated_spans(found: DataFrame, length: int, hot_bytes: int) -> DataFrame:
     out = whole.unionAll(arrow_map(cool.repartition("k").sortWithinPartitions("k", "s1", "s2"), _sort_keys(length), _SPANS))
     if not some:
         return out
-    windows = arrow_map(segs.join(hot, "k", "left_semi").dropDuplicates(["s1", "s2"]), _window_rows(length), "w1 bigint, w2 bigint, s1 bigint, s2 bigint, at int")
+    parents = segs.join(hot, "k", "left_semi").dropDuplicates(["s1", "s2"]).select("s1", "s2", "seg")
+    if level < LEVELS:
+        inner = cut_to_table(arrow_map(parents, _cut_again(length, level + 1), "k bigint, s1 bigint, s2 bigint, size int, moves boolean, p1 bigint, p2 bigint, start int, seg binary"))
+        spans = cut(repeated_spans(inner.select("k", "s1", "s2", "size", "moves", "seg"), length, hot_bytes, level + 1))
+        moved = F.transform("spans", lambda x: x + F.col("start"))
+        return out.unionAll(inner.select("s1", "s2", "p1", "p2", "start").join(spans, ["s1", "s2"]).select(F.col("p1").alias("s1"), F.col("p2").alias("s2"), moved.alias("spans")))
+    windows = cut_to_table(arrow_map(parents, _window_rows(length), "w1 bigint, w2 bigint, s1 bigint, s2 bigint, at int"))
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
     places = windows.join(twice, ["w1", "w2"], "left_semi").groupBy("s1", "s2").agg(F.sort_array(F.collect_set("at")).alias("places"))
     return out.unionAll(arrow_map(places, _join_windows(length), _SPANS))
@@ -405,7 +447,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut_out = arrow_map(frame, _cut_segments(wanted, length, key_type), f"k bigint, s1 bigint, s2 bigint, size int, moves boolean, {typed(frame, 'key', 'key')}, tag bigint, start bigint, seg binary")
     found = cut_to_table(cut_out)
     spans = cut(repeated_spans(found, length, hot_bytes))
-    of_doc = found.select("s1", "s2", "key", "tag", "start").join(spans, ["s1", "s2"]).groupBy(F.col("key").alias("k2"), F.col("tag").alias("t2")).agg(F.collect_list(F.struct("start", "spans")).alias("found"))
+    of_doc = found.select("s1", "s2", "key", "tag", "start").join(spans, ["s1", "s2"]).groupBy(F.col("key").alias("k2"), F.col("tag").alias("t2")).agg(F.collect_set(F.struct("start", "spans")).alias("found"))
     joined = frame.join(of_doc, F.col("key").eqNullSafe(F.col("k2")) & F.col("tag").eqNullSafe(F.col("t2")), "left").select("key", "text", "found")
     ddl = f"{typed(frame, 'key', 'key')}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_kept else "")
     return arrow_map(joined, _remove(key_type, with_kept), ddl).withColumnRenamed("key", id_col)
