@@ -7,8 +7,9 @@ under one. A pair that meets must pass the pigeonring: from some segment on, eac
 segments differs in at most l * 3 / SEGMENTS bits. Only then are all bits compared.
 
 A key's fingerprints are linked by breadth-first search inside the task, which gives a spanning forest: as
-many edges as fingerprints at most, never all pairs, and the same components. Keys with more than
-GROUP fingerprints are dealt out as pairs of blocks, so no task gets more than two blocks.
+many edges as fingerprints at most, never all pairs, and the same components. In a key with more than GROUP
+fingerprints the bits that are no part of it form a ring of six segments again, of which linked fingerprints agree on
+three too; so each is dealt to 20 keys of about 48 bits, and no key can have more than 2^17 fingerprints.
 
 Defined results: null, empty and white-space texts have fingerprint 0 and link like others; texts shorter
 than a shingle are one shingle; repeated rows link; a null id keeps its row in near_duplicates (it names no
@@ -32,7 +33,7 @@ from tessera.llm.graph import components
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Bits of the ring's segments, from the lowest.
 SEGMENT_BITS = (11, 11, 11, 11, 10, 10)
-#: Fingerprints of a key that one task links; beyond, they are dealt out in blocks of half as many.
+#: Fingerprints of a key that one task links; beyond, they are dealt to keys of more bits.
 GROUP = 16_384
 
 _STARTS = np.concatenate([[0], np.cumsum(SEGMENT_BITS)])
@@ -40,6 +41,14 @@ MASKS = [((1 << b) - 1) << int(s) for b, s in zip(SEGMENT_BITS, _STARTS, strict=
 COMBINED = [sum(MASKS[i] for i in c) for c in itertools.combinations(range(len(MASKS)), len(MASKS) - DISTANCE)]
 
 
+def _inner_masks(mask: int) -> list[int]:
+    """The key masks of a ring over the bits outside of mask."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    edges = [round(i * len(rest) / len(SEGMENT_BITS)) for i in range(len(SEGMENT_BITS) + 1)]
+    parts = [sum(1 << b for b in rest[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+    return [sum(parts[i] for i in c) for c in itertools.combinations(range(len(parts)), len(parts) - DISTANCE)]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -152,23 +161,15 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
     """(a, b): edges between fingerprints (column fp, distinct) whose components are those of all links."""
-    keys = distinct.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(COMBINED)])).alias("k"))
-    hot = cut(keys.groupBy("k").count().where(F.col("count") > group))
-    cool, dealt = keys, None
+    masks = F.array(*[F.lit(_signed(m)) for m in COMBINED])
+    keys = distinct.select("fp", F.posexplode(masks).alias("i", "mask")).select("fp", "i", F.xxhash64("i", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"))
+    hot = cut(keys.groupBy("k").count().where(F.col("count") > group).select("k"))
+    grouped = keys.select("k", "fp")
     if not hot.isEmpty():
-        cool = keys.join(hot, "k", "left_anti")
-        block = group // 2
-        blocks = F.ceil(F.col("count") / block).cast("int")
-        own = F.pmod(F.xxhash64("fp"), blocks)
-        dealt = (
-            keys.join(hot, "k")
-            .select("k", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-            .select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "fp")
-        )
-    edges = arrow_map(cool.repartition("k").sortWithinPartitions("k", "fp"), _link_groups, "a bigint, b bigint")
-    if dealt is not None:
-        edges = edges.unionAll(arrow_map(dealt.distinct().repartition("k").sortWithinPartitions("k", "fp"), _link_groups, "a bigint, b bigint"))
-    return edges
+        inner = F.array(*[F.array(*[F.lit(_signed(m)) for m in _inner_masks(outer)]) for outer in COMBINED])
+        dealt = keys.join(hot, "k", "left_semi").select("k", "fp", F.posexplode(F.element_at(inner, F.col("i") + 1)).alias("j", "mask")).select(F.xxhash64("k", "j", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"), "fp")
+        grouped = keys.join(hot, "k", "left_anti").select("k", "fp").unionAll(dealt)
+    return arrow_map(grouped.repartition("k").sortWithinPartitions("k", "fp"), _link_groups, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, group: int = GROUP) -> DataFrame:
@@ -179,7 +180,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named_nodes = linked.join(distinct, linked["node"] == distinct["fp"]).select("node", "component", "least")
     least = named_nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = named_nodes.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    of_fp = distinct.join(of_node, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Stored, so that the optimizer can split a fingerprint of very many rows in the join with the rows.
+    of_fp = cut(distinct.join(of_node, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return fps.join(of_fp, "fp").select(F.col("key").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
