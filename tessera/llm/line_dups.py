@@ -9,8 +9,9 @@ key (length, segment, content) are verified by banded bit-parallel edit distance
 Texts move as little as possible: keys are 16 bytes (key and line hash), and only lines that share a key are
 fetched with their text, behind a bitmap of fixed size that drops other lines before the exact join.
 Inside a key, lines are linked by breadth-first search, so a spanning forest is emitted, never all pairs;
-a sound bound on byte counts prunes before the edit distance. Keys with more than GROUP lines are dealt out
-as pairs of blocks. Classes are the connected components of the links. Of each class the line that stands
+a sound bound on byte counts prunes before the edit distance. Keys with more than GROUP lines or GROUP_BYTES bytes
+are dealt out as pairs of blocks, which grows with the square of such a key. Linked lines are known by 64-bit hashes,
+equal ones by 128 bits. Classes are the connected components of the links. Of each class the line that stands
 first (smallest id, then text hash and line number) stays; all others are removed from their documents, and the remaining lines keep their order.
 
 Lines are parted by line feeds. Lengths and edits count UTF-8 bytes. Defined results: null texts stay null and
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._arrow import arrow_map, arrow_type, cut, named, pick, slices, typed, utf8
+from tessera.llm._arrow import arrow_map, arrow_type, cut, cut_to_table, named, pick, slices, typed, utf8
 from tessera.llm._words import PRIME_2, Spans, mixed
 from tessera.llm.graph import components
 
@@ -36,6 +37,8 @@ from tessera.llm.graph import components
 EDITS, LONG_LINE = 2, 24
 #: Lines of a key that one task links; beyond, they are dealt out in blocks of half as many.
 GROUP = 4096
+#: Bytes of a key's lines that one task holds; a longer line stays whole.
+GROUP_BYTES = 32 << 20
 #: Bits of the bitmap that goes before the join which fetches lines: 4 MB, whatever the data.
 FILTER_BITS = 1 << 25
 #: Line hashes that a task remembers in order not to send the keys of a frequent line again and again.
@@ -342,20 +345,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from link(held)
 
 
-def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(a, b): hashes of linked long lines, a forest with the components of all links."""
     texts = pick(docs, text=text_col)
     keys = arrow_map(texts, _keys, "k bigint, h bigint")
     shared = cut(arrow_map(keys.repartition("k").sortWithinPartitions("k", "h"), _shared, "k bigint, h bigint").distinct())
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(shared.select("h")))
-    lines = arrow_map(texts, _fetch(bits), "h bigint, h1 bigint, line binary").groupBy("h1", "line").agg(F.first("h").alias("h"))
-    counts = shared.groupBy("k").agg(F.count("*").alias("n"))
-    block = group // 2
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    lines = cut_to_table(arrow_map(texts, _fetch(bits), "h bigint, h1 bigint, line binary").groupBy("h1", "line").agg(F.first("h").alias("h")))
+    counts = shared.join(lines.select("h", F.octet_length("line").alias("size")), "h").groupBy("k").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    hot = (F.col("n") > group) | (F.col("bytes") > group_bytes)
+    blocks = F.greatest(F.ceil(F.col("n") / (group // 2)), F.ceil(F.col("bytes") / (group_bytes // 2))).cast("int")
     sized = shared.join(counts, "k")
-    cool = sized.where(F.col("n") <= group).select("k", "h")
+    cool = sized.where(~hot).select("k", "h")
     dealt = (
-        sized.where(F.col("n") > group)
+        sized.where(hot)
         .select("k", "h", F.pmod(F.xxhash64("h"), blocks).alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         .select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "h")
         .distinct()
@@ -381,8 +384,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All columns of docs with the text cleaned, and n_lines, n_removed."""
     gone = duplicate_lines(docs, id_col, text_col, group).groupBy(F.col("key").alias("__key"), F.col("tag").alias("__tag")).agg(F.collect_set("n").alias("__gone"))
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    joined = docs.join(gone, key.eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__tag")), "left")
-    lines = F.when(F.length(text) > 0, F.split(text, "\n"))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    joined = docs.join(gone, key.eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__tag")), "left").withColumn("__lines", F.when(F.length(text) > 0, F.split(text, "\n")))
+    # Split once: a column that is read more than once stays below; then one pass over the places of the lines that stay.
+    lines, size = F.col("__lines"), F.coalesce(F.size("__lines"), F.lit(0))
+    places = F.array_except(F.sequence(F.lit(0), size - 1), F.col("__gone"))
+    kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
     out = F.when(F.col("__gone").isNull(), text).otherwise(kept)
-    return joined.select(*[out.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))
+    return joined.select(*[out.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], size.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))
