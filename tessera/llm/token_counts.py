@@ -4,7 +4,8 @@ Batches are balanced by bytes, so a worker holds the encodings of a bounded amou
 is cut at safe boundaries: a space that follows a character that isn't white space. The byte-level
 pre-tokenizer always starts a new piece there (a space is the first character of its piece or part of a
 run of white space), it looks ahead only inside runs of white space, and no special token holds white
-space, so the counts of the parts add up to the count of the whole text.
+space, so the counts of the parts add up to the count of the whole text. Texts are split only if the tokenizer file
+itself says that it works so (byte-level pieces, no normaliser, no added token that takes white space).
 
 Defined results: null or empty text 0 bytes and 0 tokens; repeated rows are counted each; a text without
 a safe boundary is encoded whole.
@@ -13,6 +14,7 @@ a safe boundary is encoded whole.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -45,33 +47,40 @@ def split_safely(text: str, part_chars: int = PART_CHARS) -> list[str]:
     return parts
 
 
+def splits_at_spaces(config: dict) -> bool:
+    """Whether a tokenizers file starts a new piece at every safe boundary."""
+    pieces = config.get("pre_tokenizer") or {}
+    byte_level = pieces.get("type") == "ByteLevel" and pieces.get("use_regex", True) and not pieces.get("add_prefix_space")
+    blind = not any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in config.get("added_tokens") or ())
+    return bool(byte_level and blind and not config.get("normalizer"))
+
+
 @functools.cache
 def _tokenizer(path: str):
+    """(lengths of a list of texts, whether long texts may be split) of a file."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], False
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], splits_at_spaces(json.loads(tokenizer.to_str()))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row.
 
-    tokenizer_path names a tokenizers .json or a sentencepiece .model that every executor can read; long
-    texts are split only for byte-level .json files, since other normalisers may look across spaces.
+    tokenizer_path names a tokenizers .json or a sentencepiece .model that every executor can read.
     """
     schema = pa.schema([("doc_id", arrow_type(docs, id_col)), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
-    splits = tokenizer_path.endswith(".json") and "byte" in os.path.basename(tokenizer_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = _tokenizer(tokenizer_path)
+        lengths, splits = _tokenizer(tokenizer_path)
         for batch in batches:
             for part in slices(batch, "text", ENCODE_BYTES):
                 texts = [x or "" for x in part.column("text").to_pylist()]
@@ -88,7 +97,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                     for piece in split_safely(text) if splits else [text]:
                         owner.append(row)
                         pending.append(piece)
-                        size += len(piece)
+                        size += len(piece) if piece.isascii() else len(piece.encode())
                         if size >= ENCODE_BYTES:
                             flush()
                             size = 0

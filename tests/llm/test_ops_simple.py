@@ -56,6 +56,22 @@ def test_token_counts_match_the_library(docs, name):
     assert [got[i].over_limit for i in range(len(TEXTS))] == [n > 512 for n in expected]
 
 
+def test_splitting_follows_the_file_not_its_name(tmp_path, spark):
+    import json
+    import shutil
+
+    from tessera.llm.token_counts import splits_at_spaces
+
+    renamed = tmp_path / "any.json"
+    shutil.copy(public_tokenizers.path("byte_bpe_50k.json"), renamed)
+    config = json.loads(renamed.read_text())
+    assert splits_at_spaces(config) and not splits_at_spaces(json.loads(open(public_tokenizers.path("word_bpe_49k.json")).read()))
+    config["added_tokens"][0]["lstrip"] = True
+    assert not splits_at_spaces(config)
+    docs = spark.createDataFrame([(1, LONG)], "doc_id long, text string")
+    assert count_tokens(docs, str(renamed)).first().n_tokens == count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).first().n_tokens
+
+
 def test_token_counts_keep_repeats_and_empty_tables(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert count_tokens(docs, path).count() == len(TEXTS) + 1
