@@ -29,7 +29,8 @@ def register(name: str, sql: str | None = None):
     def wrap(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = sql
+            # Components are reached by a recursive part.
+            ORACLES[name] = sql.replace("WITH ", "WITH RECURSIVE ", 1) if "reach AS" in sql else sql
         return f
 
     return wrap
@@ -285,7 +286,7 @@ def source_dependence(spark, sf_dir):
 _GROUPS = f"""{_DEPENDENCE}, nodes AS (SELECT DISTINCT concept, source FROM selected),
 edges AS (SELECT concept, source_a AS x, source_b AS y FROM dependence WHERE dependent UNION ALL SELECT concept, source_b, source_a FROM dependence WHERE dependent),
 e2 AS (SELECT concept, source AS x, source AS y FROM nodes UNION SELECT * FROM edges),
-reach AS (SELECT DISTINCT p.concept, p.x, r.y FROM e2 p JOIN e2 q ON q.concept = p.concept AND q.x = p.y JOIN e2 r ON r.concept = q.concept AND r.x = q.y),
+reach AS (SELECT concept, x, y FROM e2 UNION SELECT r.concept, r.x, e.y FROM reach r JOIN e2 e ON e.concept = r.concept AND e.x = r.y),
 groups AS (SELECT concept, x AS source, string_agg(y, '+' ORDER BY y) AS group_label, CAST(count(*) AS BIGINT) AS n_members FROM reach GROUP BY concept, x)"""
 
 
@@ -301,9 +302,10 @@ cell AS (SELECT country, concept, year, CAST(sum(n) AS BIGINT) AS n_sources, CAS
 reconciled AS (SELECT *, coalesce(spread_rel > 0.10, false) AS conflict, inner_spread > 0.05 AS within_group_disagreement FROM cell)"""
 
 
-@register("reconcile", f"WITH {_RECONCILED} SELECT country, concept, year, n_sources, n_evidence_groups, round(reconciled_value, 6) + 0.0 AS reconciled_value, reconciled_source, round(spread_abs, 6) + 0.0 AS spread_abs, round(spread_rel, 6) + 0.0 AS spread_rel, conflict, round(inner_spread, 6) + 0.0 AS max_within_group_spread_rel, within_group_disagreement FROM reconciled")
+@register("reconcile", f"WITH {_RECONCILED} SELECT country, concept, year, n_sources, n_evidence_groups, round(reconciled_value, 6) + 0.0 AS reconciled_value, reconciled_source, round(spread_abs, 6) + 0.0 AS spread_abs, round(spread_rel, 6) + 0.0 AS spread_rel, conflict, round(inner_spread, 6) + 0.0 AS max_within_group_spread_rel, within_group_disagreement, group_values FROM reconciled JOIN (SELECT country, concept, year, string_agg(group_label || '=' || CAST(round(value * 100) AS BIGINT), ',' ORDER BY group_label) AS group_values FROM grp GROUP BY country, concept, year) v USING (country, concept, year)")
 def reconcile(spark, sf_dir):
-    return rounded(Layer(spark, sf_dir).reconciled.drop("group_values"))
+    cents = F.transform(F.map_entries("group_values"), lambda x: F.concat(x["key"], F.lit("="), F.round(x["value"] * 100).cast("bigint").cast("string")))
+    return rounded(Layer(spark, sf_dir).reconciled.withColumn("group_values", F.array_join(cents, ",")))
 
 
 _PANEL = f"""{_RECONCILED}, panel AS (SELECT country, concept, year, reconciled_value AS value, reconciled_source, n_sources, n_evidence_groups,

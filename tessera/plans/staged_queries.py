@@ -160,13 +160,12 @@ def core_accounting(spark, sf_dir):
 
 @register(
     "dq_vocabulary",
-    f"""WITH {_STD} SELECT source, metric, CAST(value AS DOUBLE) AS value FROM (
-SELECT 'who' AS source, 'distinct_sex_values' AS metric, count(DISTINCT sex_raw) AS value FROM std WHERE source = 'who' UNION ALL SELECT 'unicef', 'distinct_sex_values', count(DISTINCT sex_raw) FROM std WHERE source = 'unicef'
-UNION ALL SELECT 'who', 'distinct_wealth_values', count(DISTINCT wealth_raw) FROM std WHERE source = 'who' UNION ALL SELECT 'unicef', 'distinct_wealth_values', count(DISTINCT wealth_raw) FROM std WHERE source = 'unicef')""",
+    f"""WITH {_STD}, v AS (SELECT source, 'distinct_sex_values' AS metric, sex_raw AS v FROM std WHERE source <> 'worldbank' UNION ALL SELECT source, 'distinct_wealth_values', wealth_raw FROM std WHERE source <> 'worldbank')
+SELECT source, metric, CAST(count(DISTINCT v) AS DOUBLE) AS value, '[' || string_agg(DISTINCT '"' || v || '"', ',' ORDER BY '"' || v || '"') || ']' AS details FROM v GROUP BY ALL""",
 )
 def dq_vocabulary(spark, sf_dir):
     t = staged(spark, sf_dir)
-    return quality.vocabulary(t["who"], t["unicef"]).where("metric like 'distinct%'").select("source", "metric", F.col("value").cast("double").alias("value"))
+    return quality.vocabulary(t["who"], t["unicef"]).where("metric like 'distinct%'").select("source", "metric", F.col("value").cast("double").alias("value"), "details")
 
 
 @register(

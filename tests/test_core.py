@@ -197,3 +197,27 @@ def test_stream_measures_each_batch(spark, built, tmp_path):
     assert query.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).where("metric = 'records_received'").agg(F.sum("value")).first()[0]
     assert got == 21
+
+
+def test_purge_removes_one_run_from_all_layers(spark, tmp_path):
+    from tessera.plans.build import purge_run
+
+    for layer, tables in (("staging", ("who", "load_log")), ("core", ("fact_observation", "build_log")), ("marts", ("trend", "build_log"))):
+        for name in tables:
+            for run in ("r1", "r2"):
+                spark.range(3).write.parquet(f"{tmp_path}/{layer}/{name}/run_id={run}")
+    assert purge_run(spark, str(tmp_path), "r1") == ["marts/build_log", "marts/trend", "core/build_log", "core/fact_observation", "staging/load_log", "staging/who"]
+    assert purge_run(spark, str(tmp_path), "r1") == [] == purge_run(spark, str(tmp_path / "none"), "r2")
+    assert {p.parent.name + "/" + p.name for p in tmp_path.glob("*/*/run_id=*")} >= {"who/run_id=r2"} and not list(tmp_path.glob("*/*/run_id=r1"))
+    with pytest.raises(ValueError):
+        purge_run(spark, str(tmp_path), "../x")
+
+
+def test_dimensions_from_a_folder_and_a_changed_header(spark, tmp_path, monkeypatch):
+    from tessera.sources import dimensions
+
+    (tmp_path / "sources.csv").write_text("# own sources\nsource,priority\nlab,1\n\"a, b\",2\n")
+    assert [tuple(r) for r in dimensions.sources(spark, str(tmp_path)).orderBy("priority").collect()] == [("lab", 1), ("a, b", 2)]
+    monkeypatch.setattr(dimensions, "_lines", lambda name: ["priority,source", "1,lab"])
+    with pytest.raises(ValueError):
+        dimensions.sources(spark)

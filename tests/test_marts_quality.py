@@ -207,3 +207,36 @@ def test_vocabulary_and_schema_variants(spark):
     variants = {r.metric: r for r in quality.schema_variants(headers).collect()}
     assert variants["distinct_column_sets"].value == 2.0 and variants["columns_shared_by_all_series"].value == 0.5
     assert quality.schema_variants(headers.limit(0)).count() == 0
+
+
+def test_naive_conflicts_equal_the_plain_product(spark):
+    import random
+
+    from tessera.operators import quality
+
+    rng = random.Random(2)
+    rows = [(s, rng.choice("ab"), rng.choice("xyz"), 2000 + rng.randrange(2), rng.choice([None, 0.0, -5.0, 100.0, 100.0, 105.0, 109.9, 111.2, rng.uniform(1, 200)])) for s in ("who", "worldbank", "unicef") for _ in range(120)]
+    want = {}
+    for w in rows:
+        for b in rows:
+            for u in rows:
+                if (w[0], b[0], u[0]) == ("who", "worldbank", "unicef") and w[1:4] == b[1:4] == u[1:4] and None not in (w[4], b[4], u[4]):
+                    v = (w[4], b[4], u[4])
+                    total, bad = want.get(w[1], (0, 0))
+                    want[w[1]] = (total + 1, bad + (max(v) - min(v) > 0.1 * sum(v) / 3.0))
+    got = {r.concept: (r.total, r.conflicting) for r in quality.naive_conflicts(spark.createDataFrame(rows, "source string, concept string, iso3 string, year int, value double")).collect()}
+    assert got == want and all(0 < bad < total for total, bad in want.values())
+
+
+def test_numbered_is_the_rank_by_draw(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.windows import numbered
+
+    df = spark.range(500).select("id", (F.col("id") % 3).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(97)) / 97.0).alias("d"))
+    rows = df.collect()
+    for keys in ([], ["g"]):
+        got = {r.id: r.n for r in numbered(df, "d", ["id"], "n", keys, buckets=8).collect()}
+        for group in {tuple(r[k] for k in keys) for r in rows}:
+            own = sorted((r.d, r.id) for r in rows if tuple(r[k] for k in keys) == group)
+            assert [got[i] for _, i in own] == list(range(len(own)))
