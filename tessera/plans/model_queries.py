@@ -36,10 +36,10 @@ def design_matrix(spark, sf_dir):
 
 @register(
     "cutoff_split",
-    f"SELECT concept, CAST(count(*) FILTER (WHERE origin_year + horizon <= 2000) AS BIGINT) AS n_train, CAST(count(*) FILTER (WHERE origin_year = 2000) AS BIGINT) AS n_test FROM ({ORACLES['instances']}) i GROUP BY concept HAVING count(*) FILTER (WHERE origin_year + horizon <= 2000 OR origin_year = 2000) > 0",
+    f"SELECT concept, CAST(count(*) FILTER (WHERE origin_year + horizon <= 24000) AS BIGINT) AS n_train, CAST(count(*) FILTER (WHERE origin_year = 24000) AS BIGINT) AS n_test FROM ({ORACLES['instances']}) i GROUP BY concept HAVING count(*) FILTER (WHERE origin_year + horizon <= 2000 OR origin_year = 24000) > 0",
 )
 def cutoff_split(spark, sf_dir):
-    train, test = forecast.split(_instances(spark, sf_dir)[0], 2000)
+    train, test = forecast.split(_instances(spark, sf_dir)[0], 24000)
     both = train.select("concept", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(test.select("concept", F.lit(0), F.lit(1)))
     return both.groupBy("concept").agg(F.sum("a").alias("n_train"), F.sum("b").alias("n_test"))
 
