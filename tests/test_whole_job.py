@@ -20,5 +20,5 @@ def test_names_of_whole_texts(spark, tmp_path):
 
     text = "Ab c" * 100 + "é!"
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    row = queries.QUERIES["name_normalize_whole"](spark, str(tmp_path)).first()
+    row = queries.QUERIES["name_normalize"](spark, str(tmp_path)).first()
     assert (row.n_chars, row.name_sha256) == (301, hashlib.sha256(("abc" * 100 + "e").encode()).hexdigest())
