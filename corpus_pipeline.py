@@ -33,7 +33,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the one with the smallest id."""
+    """One document of each group of near-duplicates, the one with the smallest id: SimHash candidates, then five-word Jaccard similarity of 0.8 or more.
+
+    A set join finds the links that SimHash leaves apart.
+    """
     return shingle_dups.keep_one(docs, shingle=5, similarity=(4, 5))
 
 

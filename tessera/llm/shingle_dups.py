@@ -1,14 +1,18 @@
-"""Near-dedup by exact Jaccard similarity of word shingles, an exact set join.
+"""Near-dedup by SimHash with an exact check: Jaccard similarity of word shingles. An exact set join finds what SimHash leaves apart.
 
-Words are those of simhash_dups; a document is the set of its shingles' XXH64. Equal sets collapse first. Two
-sets of similarity SIMILARITY or more share a shingle among the first n - ceil(SIMILARITY x n) + 1 of each in
+Words are those of simhash_dups; a document is the set of its shingles' XXH64. Equal sets collapse first. Wide SimHash
+fingerprints of the sets meet under ring keys and pass the pigeonring and the Hamming distance (simhash_dups.wide_candidates);
+their texts are compared if sizes and sketches (below) allow it, first each set with its most central candidate, then candidates whose components differ. These
+links find most copies, but no number of bits can promise a similarity, so a set join runs between the components
+that SimHash made and no link is lost: two sets of similarity SIMILARITY or more share a shingle among the first n - ceil(SIMILARITY x n) + 1 of each in
 any common order, so these are the join keys and no linked pair is missed. The order is by hash, with the keys
 of more than HOT sets last; it changes the cost only.
 
 Each set has a sketch of SKETCH_BITS parity bits of its hashes. A shingle that only one of two sets holds flips one
 bit, so sketches that differ in more bits than linked sets may differ in shingles rule a pair out inside the join.
 Two sets share no more than their common keys and what the larger one has beyond its keys, so pairs with too few
-common keys can't link either. The others are compared with their texts, in rounds: the first takes each key's sets
+common keys can't link either. Keys all of whose sets are in one component of SimHash's links are done. The pairs of
+others are compared with their texts, in rounds: the first takes each key's sets
 with its most central one (the set with the most shared keys), the second with the most central one of another
 component, which joins large groups of copies by few pairs; the last round takes all pairs of a key whose components
 still differ, so no link between components is missed. Documents of one component are near-duplicates of each other.
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._arrow import arrow_map, arrow_type, cut, cut_to_table, named, pick, slices, typed
 from tessera.llm.graph import components
-from tessera.llm.simhash_dups import SEED, _shingle_hashes, one_of_each
+from tessera.llm.simhash_dups import SEED, WIDE, _shingle_hashes, one_of_each, wide_candidates, wide_fingerprint
 
 #: Words of a shingle; similarity of linked documents as a fraction.
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -65,15 +69,15 @@ def sketch(own: np.ndarray) -> np.ndarray:
 
 
 def _sets(key_type: pa.DataType, shingle: int):
-    """(key, tag, s, sketch) of every row: the hash of its set and the set's parity bits."""
-    schema = pa.schema([("key", key_type), ("tag", pa.int64()), ("s", pa.int64()), *[(q, pa.int64()) for q in SKETCH]])
+    """(key, tag, s, n, sketch, fingerprint) of every row: the hash and size of its set, the set's parity bits and its wide SimHash."""
+    schema = pa.schema([("key", key_type), ("tag", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), *[(c, pa.int64()) for c in (*SKETCH, *WIDE)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 own = [shingles(t, shingle) for t in part.column("text").to_pylist()]
-                bits = np.stack([sketch(x) for x in own])
-                yield named(schema, key=part.column("key"), tag=part.column("tag"), s=[set_hash(x) for x in own], **{q: np.ascontiguousarray(bits[:, i]) for i, q in enumerate(SKETCH)})
+                bits = np.stack([np.concatenate([sketch(x), wide_fingerprint(x)]) for x in own])
+                yield named(schema, key=part.column("key"), tag=part.column("tag"), s=[set_hash(x) for x in own], n=[len(x) for x in own], **{c: np.ascontiguousarray(bits[:, i]) for i, c in enumerate((*SKETCH, *WIDE))})
 
     return run
 
@@ -148,9 +152,46 @@ def _verified(shingle: int, similarity: tuple[int, int]):
     return run
 
 
+def _verify(texts: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of sets that are similar by their texts."""
+    # One text of each set of a pair; equal texts have equal tags.
+    wanted = rows.join(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "s").groupBy("s").agg(F.min("tag").alias("tag"))
+    found = cut_to_table(texts.withColumn("tag", F.xxhash64("text")).join(wanted, "tag").groupBy("s").agg(F.first("text").alias("text")))
+    sides = pairs.join(found.select(F.col("s").alias("b"), F.col("text").alias("text_b")), "b").join(found.select(F.col("s").alias("a"), F.col("text").alias("text_a")), "a")
+    return cut(arrow_map(sides.select("a", "b", "text_a", "text_b"), _verified(shingle, similarity), "a bigint, b bigint"))
+
+
+def _may_link(similarity: tuple[int, int]):
+    """Of two sets (n, sketch) and (m, osketch): whether sizes and sketches allow the similarity, and the shingles it takes in common."""
+    over, under = similarity
+    fits = F.least("n", "m") * under >= F.greatest("n", "m") * over
+    both = F.ceil((F.col("n") + F.col("m")) * over / (over + under) - 1e-6)
+    differ = sum((F.bit_count(F.col(q).bitwiseXOR(F.col(f"o{q}"))) for q in SKETCH), F.lit(0))
+    return fits & (differ <= F.col("n") + F.col("m") - 2 * both), both
+
+
+def simhash_links(texts: DataFrame, rows: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(a, b): links between sets that SimHash finds, exactly checked; rows holds the (tag, s, n, sketch, fingerprint) of all texts."""
+    sets = cut(rows.groupBy("s").agg(*[F.first(c).alias(c) for c in ("n", *SKETCH, *WIDE)]))
+    one = sets.select(F.col("s").alias("a"), "n", *SKETCH)
+    other = sets.select(F.col("s").alias("b"), F.col("n").alias("m"), *[F.col(q).alias(f"o{q}") for q in SKETCH])
+    close = cut(wide_candidates(sets, similarity).join(one, "a").join(other, "b").where(_may_link(similarity)[0]).select("a", "b"))
+    both = close.unionAll(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    lead = both.join(both.groupBy("b").agg(F.count("*").alias("score")), "b").groupBy("a").agg(F.max(F.struct("score", "b")).alias("lead"))
+    first = lead.select(F.least("a", "lead.b").alias("a"), F.greatest("a", "lead.b").alias("b")).distinct()
+    linked = _verify(texts, rows, cut(first), shingle, similarity)
+    # Of the other pairs those matter whose components still differ.
+    of_set = components(linked)
+    sides = close.join(first, ["a", "b"], "left_anti").join(of_set.select(F.col("node").alias("a"), F.col("component").alias("c")), "a", "left").join(of_set.select(F.col("node").alias("b"), F.col("component").alias("d")), "b", "left")
+    apart = sides.where(F.coalesce("c", "a") != F.coalesce("d", "b")).select("a", "b")
+    return linked.unionAll(_verify(texts, rows, cut(apart), shingle, similarity))
+
+
 def set_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, hot: int = HOT) -> DataFrame:
-    """(node, component) of sets that link; rows holds the (tag, s, sketch) of all texts."""
+    """(node, component) of sets that link; rows holds the (tag, s, n, sketch, fingerprint) of all texts."""
     texts = pick(docs, text=text_col)
+    edges = simhash_links(texts, rows, shingle, similarity)
+    linked = components(edges)
 
     def share(late: np.ndarray) -> DataFrame:
         keys = arrow_map(texts, _keys(shingle, similarity, late), "k bigint, s bigint, n int")
@@ -162,30 +203,20 @@ def set_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle:
         shared = share(np.array([r.k for r in late], np.int64).view(np.uint64))
 
     over, under = similarity
-    fits = F.least("n", "m") * under >= F.greatest("n", "m") * over
-    both = F.ceil((F.col("n") + F.col("m")) * over / (over + under) - 1e-6)
+    near, both = _may_link(similarity)
     # Of the larger set, ceil(similarity x size) - 1 shingles are no keys.
     needed = both - F.ceil(F.greatest("n", "m") * over / under - 1e-6) + 1
-    differ = sum((F.bit_count(F.col(q).bitwiseXOR(F.col(f"o{q}"))) for q in SKETCH), F.lit(0))
-    near = fits & (differ <= F.col("n") + F.col("m") - 2 * both)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        # One text of each set of a pair; equal texts have equal tags.
-        wanted = rows.join(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "s").groupBy("s").agg(F.min("tag").alias("tag"))
-        found = cut_to_table(texts.withColumn("tag", F.xxhash64("text")).join(wanted, "tag").groupBy("s").agg(F.first("text").alias("text")))
-        sides = pairs.join(found.select(F.col("s").alias("b"), F.col("text").alias("text_b")), "b").join(found.select(F.col("s").alias("a"), F.col("text").alias("text_a")), "a")
-        return cut(arrow_map(sides.select("a", "b", "text_a", "text_b"), _verified(shingle, similarity), "a bigint, b bigint"))
-
     of_set = rows.groupBy("s").agg(*[F.first(q).alias(q) for q in SKETCH]).join(shared.groupBy("s").agg(F.count("*").alias("score")), "s")
-    whole = cut_to_table(shared.join(of_set, "s"))
     side = ["s", "n", "c", *SKETCH]
     opposite = lambda x: [x("s").alias("o"), x("n").alias("m"), x("c").alias("d"), *[x(q).alias(f"o{q}") for q in SKETCH]]
-    edges, linked, left = None, None, whole.withColumn("c", F.col("s"))
+    left = None
     for leaders in (1, 2, None):
-        if linked is not None:
-            named_sets = whole.join(linked.select(F.col("node").alias("s"), "component"), "s", "left").select(*whole.columns, F.coalesce("component", "s").alias("c"))
-            open_keys = named_sets.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("k")
-            left = cut_to_table(named_sets.join(open_keys, "k"))
+        of_node = linked.select(F.col("node").alias("s"), "component")
+        component = F.coalesce("component", "s").alias("c")
+        named_sets = (shared if left is None else left).select("k", "s").join(of_node, "s", "left").select("k", component)
+        open_keys = named_sets.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("k")
+        rest = (shared.join(open_keys, "k").join(of_set, "s") if left is None else left.join(open_keys, "k")).join(of_node, "s", "left")
+        left = cut_to_table(rest.select("k", "s", "n", *SKETCH, "score", component))
         central = lambda df: df.groupBy("k").agg(F.max(F.struct("score", *side)).alias("lead"))
         if leaders == 2:
             first = central(left).select("k", F.col("lead.c").alias("first"))
@@ -200,8 +231,7 @@ def set_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle:
             apart = F.col("s") > F.col("o")
         pairs = left.join(other, "k").where(apart & (F.col("c") != F.col("d")) & near)
         counted = pairs.groupBy(F.col("o").alias("a"), F.col("s").alias("b"), "n", "m").agg(F.count("*").alias("common"))
-        new = verify(cut(counted.where(F.col("common") >= needed).select("a", "b")))
-        edges = new if edges is None else edges.unionAll(new)
+        edges = edges.unionAll(_verify(texts, rows, cut(counted.where(F.col("common") >= needed).select("a", "b")), shingle, similarity))
         linked = components(edges)
     return linked
 
@@ -209,7 +239,7 @@ def set_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, hot: int = HOT) -> DataFrame:
     """One row of each component of similar documents, the one with the smallest id; a null id is the largest."""
     frame = pick(docs, key=id_col, text=text_col).withColumn("tag", F.xxhash64("text"))
-    rows = cut(arrow_map(frame, _sets(arrow_type(docs, id_col), shingle), f"{typed(docs, id_col, 'key')}, tag bigint, s bigint, {", ".join(f"{q} bigint" for q in SKETCH)}"))
+    rows = cut(arrow_map(frame, _sets(arrow_type(docs, id_col), shingle), f"{typed(docs, id_col, 'key')}, tag bigint, s bigint, n int, {", ".join(f"{c} bigint" for c in (*SKETCH, *WIDE))}"))
     linked = set_links(docs, rows, text_col, shingle, similarity, hot)
     of_row = rows.join(linked.withColumnRenamed("node", "s"), "s", "left").select("key", "tag", F.coalesce("component", "s").alias("component"))
     return one_of_each(docs, of_row, id_col, text_col)

@@ -11,6 +11,13 @@ many edges as fingerprints at most, never all pairs, and the same components. In
 fingerprints the bits that are no part of it form a ring of six segments again, of which linked fingerprints agree on
 three too; so each is dealt to 20 keys of about 48 bits, and no key can have more than 2^17 fingerprints.
 
+Similar sets of shingles (Jaccard 0.8, say) differ in far more than 3 bits. For them wide_candidates() takes wide
+fingerprints of WIDE words. Their bits form rings, each in a seeded order and cut into segments that are keys; a segment
+has about as many bits as the number of fingerprints has, and there are so many segments that MEET of the pairs at the
+given similarity have one in common. Pairs that meet pass the pigeonring and the Hamming distance of the first word at
+WIDE_DISTANCE bits. Of a key each fingerprint keeps the closest one before and behind it. These pairs are candidates for an exact check; what
+never meets needs an exact way beside it.
+
 Defined results: null, empty and white-space texts have fingerprint 0 and link like others; texts shorter
 than a shingle are one shingle; repeated rows link; a null id keeps its row in near_duplicates (it names no
 component), and keep_one tells rows apart by id and text hash; an empty table gives an empty result.
@@ -19,6 +26,7 @@ component), and keep_one tells rows apart by id and text hash; an empty table gi
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._arrow import arrow_map, arrow_type, cut, named, pick, slices, typed
+from tessera.llm._words import mixed
 from tessera.llm.graph import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -35,6 +44,10 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 SEGMENT_BITS = (11, 11, 11, 11, 10, 10)
 #: Fingerprints of a key that one task links; beyond, they are dealt to keys of more bits.
 GROUP = 16_384
+#: Words of 64 bits of a wide fingerprint, differing bits of its first word, share of similar pairs that meet.
+WIDE, WIDE_DISTANCE, MEET = [f"p{i}" for i in range(4)], 18, 0.95
+#: Wide fingerprints of a key up to which the closest are taken from all pairs; beyond, a spanning forest links them.
+SMALL_GROUP = 64
 
 _STARTS = np.concatenate([[0], np.cumsum(SEGMENT_BITS)])
 MASKS = [((1 << b) - 1) << int(s) for b, s in zip(SEGMENT_BITS, _STARTS, strict=False)]
@@ -99,7 +112,7 @@ def ring_passes(x: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     out = np.zeros(x.shape, bool)
     for start in range(m):
         total = d[start]
-        good = total == 0
+        good = total <= distance // m
         for length in range(2, m):
             total = total + d[(start + length - 1) % m]
             good &= total <= length * distance // m
@@ -172,6 +185,104 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
     return arrow_map(grouped.repartition("k").sortWithinPartitions("k", "fp"), _link_groups, "a bigint, b bigint")
 
 
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The majority bits of shingle hashes, then those of the hashes remixed, as signed longs."""
+    ones = np.zeros(64 * len(WIDE), np.int64)
+    for a in range(0, len(hashes), 1 << 14):
+        part = hashes[a : a + (1 << 14)]
+        words = np.stack([part, *[mixed(part + np.uint64(i)) for i in range(1, len(WIDE))]], axis=1)
+        ones += np.unpackbits(words.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
+
+
+def wide_masks(count: int, similarity: tuple[int, int]) -> np.ndarray:
+    """The key masks (one row of words each) for so many fingerprints of sets whose Jaccard similarity matters from there on."""
+    share = 2 * similarity[0] / (similarity[0] + similarity[1])  # cosine of two sets, at least
+    agree = 1 - math.acos(min(share, 1)) / math.pi
+    bits = max(8, math.ceil(math.log2(count + 1)))
+    keys = math.ceil(math.log(1 - MEET) / math.log(1 - agree**bits)) if agree < 1 else 1
+    rng, out = np.random.default_rng(SEED), []
+    while len(out) < keys:
+        ring = rng.permutation(64 * len(WIDE))
+        for a in range(0, len(ring) - bits + 1, bits):
+            chosen = np.zeros(len(ring), np.uint8)
+            chosen[ring[a : a + bits]] = 1
+            out.append(np.packbits(chosen, bitorder="little").view("<u8"))
+    return np.stack(out[:keys])
+
+
+def _deal_wide(masks: np.ndarray):
+    """(k, s, fp): the keys of each wide fingerprint, with its set and first word."""
+    schema = pa.schema([("k", pa.int64()), ("s", pa.int64()), ("fp", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, words = batch.column("s").to_numpy(), [batch.column(w).to_numpy().view(np.uint64) for w in WIDE]
+            keys = []
+            for i, mask in enumerate(masks):
+                k = np.full(len(s), i, np.uint64)
+                for word, part in zip(words, mask, strict=True):
+                    k = mixed(k * np.uint64(31) + (word & part))
+                keys.append(k)
+            yield named(schema, k=np.concatenate(keys).view(np.int64), s=np.tile(s, len(masks)), fp=np.tile(words[0].view(np.int64), len(masks)))
+
+    return run
+
+
+def _wide_pairs(k: np.ndarray, s: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of sets of one key whose first words are close, at most two for each row; rows are sorted by key."""
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    sizes = np.diff(np.append(starts, len(k)))
+    u, small = fp.view(np.uint64), np.repeat(sizes <= SMALL_GROUP, sizes)
+    left, right, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    at = np.flatnonzero(small)
+    for step in range(1, min(SMALL_GROUP, int(sizes.max()))):
+        at = at[at + step < len(k)]
+        at = at[k[at] == k[at + step]]
+        x = u[at] ^ u[at + step]
+        near = np.flatnonzero(np.bitwise_count(x) <= WIDE_DISTANCE)
+        near = near[ring_passes(x[near], WIDE_DISTANCE)]
+        left.append(at[near])
+        right.append(at[near] + step)
+        bits.append(np.bitwise_count(x[near]))
+    a, b, d = np.concatenate(left), np.concatenate(right), np.concatenate(bits)
+    # Of each row the closest row before it and the closest behind it.
+    best = [order[np.unique(side[order], return_index=True)[1]] for side in (a, b) for order in [np.argsort(d, kind="stable")]]
+    chosen = np.unique(np.concatenate(best))
+    left, right = [a[chosen]], [b[chosen]]
+    for start, n in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP], strict=True):
+        p, c = forest(u[start : start + n], WIDE_DISTANCE)
+        left.append(start + np.array(p, np.int64))
+        right.append(start + np.array(c, np.int64))
+    a, b = s[np.concatenate(left)], s[np.concatenate(right)]
+    return np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+
+
+def _meet_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, s, fp) sorted by k and s: the close pairs of each key; keys may span batches."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    held = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("k", "s", "fp"), strict=True)]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        if last:
+            a, b = _wide_pairs(*[x[:last] for x in rows])
+            if len(a):
+                yield named(schema, a=a, b=b)
+        held = [x[last:] for x in rows]
+    if len(held[0]):
+        a, b = _wide_pairs(*held)
+        yield named(schema, a=a, b=b)
+
+
+def wide_candidates(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b), a < b: pairs of sets that are close by SimHash; sets holds s, once each, and the words of wide fingerprints."""
+    keys = arrow_map(sets.select("s", *WIDE), _deal_wide(wide_masks(sets.count(), similarity)), "k bigint, s bigint, fp bigint")
+    return arrow_map(keys.repartition("k").sortWithinPartitions("k", "s"), _meet_wide, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """id, fp (signed long), fingerprint (16 hex digits) and component_id for every row."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle, seed))
