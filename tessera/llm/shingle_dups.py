@@ -190,8 +190,7 @@ def simhash_links(texts: DataFrame, rows: DataFrame, shingle: int = SHINGLE, sim
 def set_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, hot: int = HOT) -> DataFrame:
     """(node, component) of sets that link; rows holds the (tag, s, n, sketch, fingerprint) of all texts."""
     texts = pick(docs, text=text_col)
-    edges = simhash_links(texts, rows, shingle, similarity)
-    linked = components(edges)
+    linked = components(simhash_links(texts, rows, shingle, similarity))
 
     def share(late: np.ndarray) -> DataFrame:
         keys = arrow_map(texts, _keys(shingle, similarity, late), "k bigint, s bigint, n int")
@@ -231,8 +230,8 @@ def set_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle:
             apart = F.col("s") > F.col("o")
         pairs = left.join(other, "k").where(apart & (F.col("c") != F.col("d")) & near)
         counted = pairs.groupBy(F.col("o").alias("a"), F.col("s").alias("b"), "n", "m").agg(F.count("*").alias("common"))
-        edges = edges.unionAll(_verify(texts, rows, cut(counted.where(F.col("common") >= needed).select("a", "b")), shingle, similarity))
-        linked = components(edges)
+        found = _verify(texts, rows, cut(counted.where(F.col("common") >= needed).select("a", "b")), shingle, similarity)
+        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found))
     return linked
 
 

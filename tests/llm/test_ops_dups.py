@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import random
 import time
@@ -17,6 +18,7 @@ from tessera.llm import decontaminate as D
 from tessera.llm import line_dups as L
 from tessera.llm import simhash_dups as H
 from tessera.llm import suffix_dups as S
+from tessera.llm._arrow import cut, cut_to_table
 from tessera.llm.graph import components
 
 EDGE = [(1000, None), (1001, ""), (1002, " "), (1003, "\n"), (1004, "\n\nsame line that is long enough\n"), (1005, "same line that is long enough"), (1006, "w " * 60_000), (1007, "x"), (1007, "x")]
@@ -63,6 +65,40 @@ def test_components_of_paths_stars_and_noise(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("small", [0, 40, 1 << 18])
+def test_components_in_one_task_and_in_steps(spark, small):
+    rng = random.Random(4)
+    rows = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(55)] + [(-(1 << 62), 1 << 62), (None, 5)]
+    nodes = sorted({x for a, b in rows for x in (a, b) if a is not None and a != b})
+    place = {x: i for i, x in enumerate(nodes)}
+    root = union_find(len(nodes), [(place[a], place[b]) for a, b in rows if a is not None and a != b])
+    least = {r: min(x for x in nodes if root[place[x]] == r) for r in set(root)}
+    got = components(spark.createDataFrame(rows, "a long, b long"), small=small).collect()
+    assert sorted((r.node, r.component) for r in got) == [(x, least[root[place[x]]]) for x in nodes]
+    named_nodes = components(spark.createDataFrame([("b", "a"), ("c", "b"), ("y", "x")], "a string, b string"))
+    assert {(r.node, r.component) for r in named_nodes.collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+
+
+def test_a_small_graph_takes_few_jobs(spark):
+    context = spark.sparkContext
+    context.setJobGroup("small graph", "")
+    try:
+        assert {r.component for r in components(spark.range(300).selectExpr("id AS a", "id + 1 AS b")).collect()} == {0}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("small graph")) <= 8
+
+
+@pytest.mark.parametrize("store", [cut, cut_to_table])
+def test_what_is_stored_leaves_no_shuffle_files(spark, store):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    counted, before = spark.range(500).groupBy((F.col("id") % 7).alias("k")).count(), files()
+    stored = store(counted)
+    assert not files() - before
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, counted.collect())) == [(k, 72 if k < 3 else 71) for k in range(7)]
+
+
 # --- line dedup -----------------------------------------------------------------------------------------------------
 
 
