@@ -40,8 +40,9 @@ def design_matrix(spark, sf_dir):
 )
 def cutoff_split(spark, sf_dir):
     train, test = forecast.split(_instances(spark, sf_dir)[0], 24000)
-    both = train.select("concept", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(test.select("concept", F.lit(0), F.lit(1)))
-    return both.groupBy("concept").agg(F.sum("a").alias("n_train"), F.sum("b").alias("n_test"))
+    both = train.select("concept", F.lit(1).alias("a"), F.lit(0).alias("b"), (F.col("origin_year") + F.col("horizon") <= 2000).alias("c")).unionAll(test.select("concept", F.lit(0), F.lit(1), F.lit(True)))
+    counted = both.groupBy("concept").agg(F.sum("a").alias("n_train"), F.sum("b").alias("n_test"), F.max("c").alias("listed"))
+    return counted.where("listed").drop("listed")  # as the SQL's HAVING has it
 
 
 _RIVALS = ("linear_trend_5", "average_change")
