@@ -7,9 +7,12 @@ value, numerator, denominator, details). value = numerator / denominator, null f
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,32 +118,124 @@ def naive_fanout(obs: DataFrame, sources: Sequence[str] = ("who", "worldbank", "
     return cells.groupBy("concept").agg(F.count_if(shared).alias("shared_cells"), F.sum(F.when(shared, product)).cast("bigint").alias("naive_rows"), F.sum("valued").alias("any_cells")).where("shared_cells > 0")
 
 
-def naive_conflicts(obs: DataFrame, sources: Sequence[str] = ("who", "worldbank", "unicef"), share: float = 0.10) -> DataFrame:
+def _agreeing(keys: Sequence[str], share: float) -> Callable[[pa.Table], pa.Table]:
+    """Of a table (keys, place of the source, value, c, first), by keys, the last left out: counts by source (n; f finite
+    or less; i infinite) of its rows with `first`, and the agreeing combinations that begin at these.
+
+    Of a combination x <= y <= z (ties by the source's place) x and z decide alone unless z lies in a narrow window
+    above x; sums of counts do for those below it. In the window the condition rises with y, so one search for each
+    pair finds the smallest y that agrees, judged by the condition itself. Cells where sums can overflow or values have
+    few digits left have no sure side. Workers get these functions by value.
+    """
+    k = share / 3
+    sure, most = (1 + 2 * k) / (1 - k) * (1 - 1e-9), (1 + k) / (1 - 2 * k) * (1 + 1e-9)
+    chunk = 1 << 18
+    names = [*(f"{a}{i}" for a in "nfi" for i in range(3)), "agreed"]
+
+    def sums(counts: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(counts)])
+
+    def run(table: pa.Table) -> pa.Table:
+        cells = np.zeros(table.num_rows, np.int64)
+        for key in keys:
+            codes = table[key].combine_chunks().dictionary_encode().indices.to_numpy()
+            cells = np.unique(cells * (int(codes.max()) + 1) + codes, return_inverse=True)[1]
+        place, value, c, first = (table[name].combine_chunks().to_numpy(zero_copy_only=False) for name in ("place", "value", "c", "first"))
+        one = np.unique(cells, return_index=True)[1]
+        edge, out = np.zeros(len(one), bool), {name: np.zeros(len(one), np.int64) for name in names}
+        for name, counted in (("n", first), ("f", first & (value < np.inf)), ("i", first & (value == np.inf))):
+            for i in range(3):
+                at = counted & (place == i)
+                np.add.at(out[f"{name}{i}"], cells[at], c[at])
+        edge[cells[(np.abs(value) > 5e307) & (np.abs(value) < np.inf) | (value > 0) & (value < 1e-290)]] = True
+        first = first & ((value >= 0) | edge[cells])
+        cells, place, value, c, first = (a[value < np.inf] for a in (cells, place, value, c, first))
+        known = np.unique(value)
+        # A row's spot orders by cell, then value; a cell has one spot more than there are values.
+        spots = cells * (len(known) + 1) + np.searchsorted(known, value)
+        order = np.argsort(spots, kind="stable")
+        rows = [order[place[order] == i] for i in range(3)]
+        spot, v, n, cell = ([a[at] for at in rows] for a in (spots, value, c, cells))
+        n_sum = [sums(a) for a in n]
+
+        def behind(i: int, at: np.ndarray, t: np.ndarray, side: str) -> np.ndarray:
+            return np.searchsorted(spot[i], at * (len(known) + 1) + np.searchsorted(known, t, side))
+
+        for p, q, r in itertools.permutations(range(3)) if all(map(len, rows)) else ():
+            x = np.flatnonzero(first[rows[p]])
+            vx, cx = v[p][x], cell[p][x]
+            odd = edge[cx]
+            y0 = np.searchsorted(spot[q], spot[p][x] + int(q < p))
+            z0 = np.searchsorted(spot[r], spot[p][x] + int(r < p))
+            top = np.searchsorted(spot[q], spot[r] + int(q < r))
+            z1 = np.maximum(z0, behind(r, cx, np.where(odd, -np.inf, vx * sure), "left"))
+            z2 = np.maximum(z1, behind(r, cx, np.where(odd, np.inf, vx * most), "right"))
+            below = sums(n[r] * n_sum[q][top])
+            got = below[z1] - below[z0] - n_sum[q][y0] * (n_sum[r][z1] - n_sum[r][z0])
+            ends = sums(z2 - z1)
+            for start in range(0, int(ends[-1]), chunk):
+                pair = np.arange(start, min(start + chunk, int(ends[-1])))
+                i = np.searchsorted(ends, pair, "right") - 1
+                z = pair - ends[i] + z1[i]
+                a, b, lo, hi = vx[i], v[r][z], y0[i], top[z]
+
+                def agrees(y: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+                    parts = {p: a[at], q: v[q][np.clip(y, 0, len(v[q]) - 1)], r: b[at]}  # noqa: B023
+                    most_spread = share * (parts[0] + parts[1] + parts[2]) / 3.0
+                    return (parts[r] - parts[p] <= most_spread) | np.isnan(most_spread)  # Spark sorts NaN last
+
+                y = np.clip(behind(q, cx[i], (b * (1 - k) - a * (1 + k)) / k, "left"), lo, hi)
+                # Rounding can put the guess beside the true place; those few are searched by the condition.
+                off = np.flatnonzero(((y < hi) & ~agrees(y)) | ((y > lo) & agrees(y - 1)))
+                left, right = lo[off], hi[off]
+                while (open_ := left < right).any():
+                    mid = (left + right) // 2
+                    yes = agrees(mid, off)
+                    left, right = np.where(open_ & ~yes, mid + 1, left), np.where(open_ & yes, mid, right)
+                y[off] = left
+                np.add.at(got, i, n[r][z] * (n_sum[q][hi] - n_sum[q][y]))
+            np.add.at(out["agreed"], cx, n[p][x] * got)
+        return pa.table({key: table[key].take(pa.array(one)) for key in keys[:-1]} | out)
+
+    def quietly(table: pa.Table) -> pa.Table:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return run(table)
+
+    return quietly
+
+
+def naive_conflicts(obs: DataFrame, sources: Sequence[str] = ("who", "worldbank", "unicef"), share: float = 0.10, large: int = 1 << 17) -> DataFrame:
     """(concept, total, conflicting) over all combinations of one row from each of three sources in a cell.
 
-    A combination conflicts if the spread of its values exceeds `share` of their mean. All combinations are counted
-    by products of counts, not made. Values that agree lie within a factor of 1 / (1 - share) of the smallest, or are
-    all zero; so only rows of one narrow logarithmic band meet in a join, copies of a value as one row with a weight.
+    A combination conflicts if the spread of its values exceeds `share` of their mean. No combination is made: all are
+    counted by products of counts, those that agree by `_agreeing`, copies of a value as one row with a weight. Values
+    that agree lie within a narrow factor of the smallest, so cells of more than `large` values are dealt out by
+    logarithmic bands: a value begins combinations in its own band only and is there in the bands below that reach it.
     """
     if not 0 < share < 1:
         raise ValueError("share must lie between 0 and 1")
     keys = ["concept", "iso3", "year"]
-    real = obs.where(F.col("value").isNotNull() & F.col("iso3").isNotNull() & F.col("year").isNotNull() & F.col("source").isin(list(sources)))
-    weighted = real.groupBy(*keys, "source", "value").agg(F.count("*").alias("c"))
-    counts = weighted.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("source") == s, F.col("c"))), F.lit(0)).alias(f"n{i}") for i, s in enumerate(sources)])
-    totals = counts.where("n0 > 0 and n1 > 0 and n2 > 0").groupBy("concept").agg(F.sum(F.col("n0") * F.col("n1") * F.col("n2")).alias("total"))
-    # A hair wider than the factor, so that rounding at its edge loses nothing; zeros have a band of their own.
-    width = -math.log1p(-share) * (1 + 1e-9)
-    band = F.when(F.col("value") > 0, F.floor(F.ln("value") / width)).when(F.col("value") == 0, F.lit(-(10**9)))
-    banded = weighted.where("value >= 0").withColumn("own", band)
-    # A value meets those whose smallest lies in its own band or in the one below.
-    met = banded.withColumn("band", F.explode(F.array("own", F.col("own") - 1)))
-    side = lambda i: met.where(F.col("source") == sources[i]).select(*keys, "band", F.col("value").alias(f"v{i}"), F.col("c").alias(f"c{i}"), F.col("own").alias(f"b{i}"))
-    rows = side(0).join(side(1), [*keys, "band"]).join(side(2), [*keys, "band"]).where(F.col("band") == F.least("b0", "b1", "b2"))
-    spread = F.greatest("v0", "v1", "v2") - F.least("v0", "v1", "v2")
-    conflict = spread > share * (F.col("v0") + F.col("v1") + F.col("v2")) / 3.0
-    agreed = rows.where(~conflict).groupBy("concept").agg(F.sum(F.col("c0") * F.col("c1") * F.col("c2")).alias("agreed"))
-    return totals.join(agreed, "concept", "left").select("concept", "total", (F.col("total") - F.coalesce("agreed", F.lit(0))).alias("conflicting"))
+    value = F.col("value")
+    real = obs.where(value.isNotNull() & F.col("concept").isNotNull() & F.col("iso3").isNotNull() & F.col("year").isNotNull() & F.col("source").isin(list(sources)))
+    place = F.array_position(F.array(*[F.lit(s) for s in sources]), F.col("source")).cast("int") - 1
+    weighted = real.groupBy(*keys, place.alias("place"), value.cast("double").alias("value")).agg(F.count("*").alias("c"))
+    # At most one cell for each `large` values, so these are few. Both readers of `weighted` take all its columns
+    # and rows (n_rows says nothing new), else their shuffles differ and the rows are joined and dealt twice.
+    sizes = weighted.groupBy(*keys).agg(F.count("*").alias("n_values"), F.sum("c").alias("n_rows"), F.max(F.when(F.abs("value") < float("inf"), F.abs("value"))).alias("most"), F.min(F.when(value > 0, value)).alias("least"))
+    split = sizes.where((F.col("n_values") > large) & (F.col("n_rows") > large) & (F.col("most") <= 5e307) & (F.col("least") >= 1e-290)).select(*keys, F.lit(True).alias("split"))
+    rows = weighted.join(F.broadcast(split), keys, "left")
+    parts = 8
+    width = (math.log1p(share / 3) - math.log1p(-2 * share / 3)) * (1 + 1e-6) / parts
+    own = F.when(F.col("split").isNull(), F.lit(0)).when((value > 0) & (value < float("inf")), F.floor(F.ln("value") / width)).otherwise(F.lit(-(10**9))).cast("bigint")
+    met = rows.withColumn("own", own).withColumn("band", F.explode(F.when(F.col("split").isNull(), F.array("own")).otherwise(F.sequence(F.col("own") - parts, "own"))))
+    dealt = met.select(*keys, "band", "place", "value", "c", (F.col("band") == F.col("own")).alias("first"), F.pmod(F.xxhash64(*keys, "band"), F.lit(512)).alias("bucket"))
+    schema = ", ".join([*[f"{k} {dealt.schema[k].dataType.simpleString()}" for k in keys], *[f"{a}{i} bigint" for a in "nfi" for i in range(3)], "agreed bigint"])
+    found = dealt.groupBy("bucket").applyInArrow(_agreeing([*keys, "band"], share), schema)
+    cells = found.groupBy(*keys).agg(*[F.sum(f"{a}{i}").alias(f"{a}{i}") for a in "nfi" for i in range(3)], F.sum("agreed").alias("agreed")).where("n0 > 0 and n1 > 0 and n2 > 0")
+    product = lambda a: F.col(f"{a}0") * F.col(f"{a}1") * F.col(f"{a}2")
+    # Spark and the SQL sort NaN above infinity: a spread with either among its values exceeds no mean, unless all three are infinite.
+    conflicting = product("f") + product("i") - F.col("agreed")
+    return cells.groupBy("concept").agg(F.sum(product("n")).alias("total"), F.sum(conflicting).alias("conflicting"))
 
 
 def integration(obs: DataFrame, sources: Sequence[str] = ("who", "worldbank", "unicef")) -> DataFrame:

@@ -228,6 +228,59 @@ def test_naive_conflicts_equal_the_plain_product(spark):
     assert got == want and all(0 < bad < total for total, bad in want.values())
 
 
+@pytest.mark.parametrize("large", [1, 1 << 17])
+def test_naive_conflicts_of_odd_values_equal_the_plain_join(spark, large):
+    import random
+
+    rng = random.Random(4)
+    odd = [float("nan"), float("inf"), float("-inf"), 1e308, 1.7e308, -1e308, 5e-324, 1e-310, 1.1e-310, -0.0, 0.0, -7.0]
+    pools = {"plain": range(1000, 1120), "wide": [1.05**i for i in range(-400, 400)], "odd": odd, "mixed": [*odd, *range(1000, 1120)], None: range(1000, 1010)}
+    rows = [(s, concept, iso3, 2000, float(rng.choice(pool))) for concept, pool in pools.items() for iso3 in ("x", "y", None) for s in ("who", "worldbank", "unicef") for _ in range(60)]
+    obs = spark.createDataFrame(rows, "source string, concept string, iso3 string, year int, value double")
+    obs.createOrReplaceTempView("odd_rows")
+    want = spark.sql("""SELECT w.concept, count(*) AS total, count_if(greatest(w.value, b.value, u.value) - least(w.value, b.value, u.value) > 0.10D * (w.value + b.value + u.value) / 3.0D) AS conflicting
+        FROM odd_rows w JOIN odd_rows b USING (concept, iso3, year) JOIN odd_rows u USING (concept, iso3, year) WHERE w.source = 'who' AND b.source = 'worldbank' AND u.source = 'unicef' GROUP BY w.concept""")
+    got = quality.naive_conflicts(obs, large=large)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 4
+
+
+@pytest.mark.parametrize("large", [1000, 1 << 17])
+def test_naive_conflicts_of_many_different_values_in_one_band(spark, large):
+    """6.4e10 combinations of values that all lie close together, so none can be made; counted here by two searches for each pair."""
+    import threading
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    w, b, u = (np.sort(rng.choice(np.arange(10_000, 11_200, 0.25), 4000, replace=False)) for _ in range(3))
+    rows = [(s, "a", "x", 2000, float(v)) for s, values in (("who", w), ("worldbank", b), ("unicef", u)) for v in values]
+    obs = spark.createDataFrame(rows, "source string, concept string, iso3 string, year int, value double").repartition(4)
+    agreed = 0
+    for x in w:
+        low, high = np.minimum(x, b), np.maximum(x, b)
+        bad = lambda y: np.maximum(high, y) - np.minimum(low, y) > 0.1 * (x + b + y) / 3.0  # noqa: B023, E731
+        # Up to the higher of the pair a larger value agrees better, above it worse.
+        left, right = np.zeros(len(b), int), np.searchsorted(u, high, "right")
+        middle = right.copy()
+        while (left < right).any():
+            mid = (left + right) // 2
+            no = bad(u[np.minimum(mid, len(u) - 1)])
+            left, right = np.where((left < right) & no, mid + 1, left), np.where((left < right) & ~no, mid, right)
+        first, left, right = left, middle, np.full(len(b), len(u))
+        while (left < right).any():
+            mid = (left + right) // 2
+            no = bad(u[np.minimum(mid, len(u) - 1)])
+            left, right = np.where((left < right) & ~no, mid + 1, left), np.where((left < right) & no, mid, right)
+        agreed += int((left - first).sum())
+    stop = threading.Timer(100, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        row = quality.naive_conflicts(obs, large=large).first()
+    finally:
+        stop.cancel()
+    assert (row.total, row.conflicting) == (4000**3, 4000**3 - agreed) and 0 < agreed < 4000**3
+
+
 def test_numbered_is_the_rank_by_draw(spark):
     from pyspark.sql import functions as F
 
